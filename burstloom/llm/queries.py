@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from burstloom.llm import consistent
+from burstloom.llm import components, consistent, distinctive, frequency, leaks, mixing, reading
 from burstloom.session import materialise
 from burstloom.sources.readers import table
 
+#: folder of the public tokenizers and the model used for sizes
+TOKENIZERS = os.environ.get("BURSTLOOM_TOKENIZERS", "/opt/tokenizers")
+SIZE_MODEL = "piece_bpe_32k.model"
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of posts that look the same and are stored differently."""
@@ -18,8 +24,74 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent.lookalike_pairs(classes, "seq")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tied node with the smallest node of its group."""
+    return components.segment_groups(table(spark, sf_dir, "similaritygraph"))
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences, posts and mark of every distinct segment."""
+    rows = table(spark, sf_dir, "postsegments").select("seq", "pos", "current_segment")
+    return frequency.term_frequencies(rows, "seq", "pos", "current_segment").withColumnsRenamed({"term": "current_segment", "records": "posts"})
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments marked rare or common."""
+    return p5_counts(spark, sf_dir).where("mark is not null").select("current_segment", "mark")
+
+
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every segment in every window, with the counts it rests on."""
+    posts = table(spark, sf_dir, "alldata").select("seq", "window_num")
+    rows = table(spark, sf_dir, "postsegments").select("seq", "pos", "current_segment")
+    counts = materialise(distinctive.record_terms(posts, rows, "seq", "window_num", "pos", "current_segment"))
+    return distinctive.distinctiveness(counts).withColumnsRenamed({"record": "window_num", "term": "current_segment"})
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments that stand for one window."""
+    return distinctive.standing_terms(p7_scores(spark, sf_dir)).select("window_num", "current_segment")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with twelve consecutive words of a test item."""
+    return leaks.leaked_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "evalitems"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, table(spark, sf_dir, "mixtargets"), f"{TOKENIZERS}/{SIZE_MODEL}")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources that cannot reach their share."""
+    return _mix(spark, sf_dir).report().where("missing > 0").select("source")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return _mix(spark, sf_dir).report()
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix with their uses."""
+    return _mix(spark, sf_dir).select("doc_id")
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return reading.reading_levels(docs, reading.train(docs, table(spark, sf_dir, "doclevels")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ungraded documents at the top level."""
+    graded = table(spark, sf_dir, "doclevels").select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    return p10_levels(spark, sf_dir).where("level = 5").join(graded, "doc_id", "left_anti").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found}
+    return {f.__name__: f for f in (p2_found, p4_found, p5_counts, p5_found, p7_scores, p7_found, p8_found, p9_found, p9_report, p9_mix, p10_levels, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
