@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 #: words of the model
 MAX_VOCABULARY = 60_000
-#: additive smoothing
-ALPHA = 0.5
+#: words that the grade profile of a word's class counts for
+BACKOFF = 30.0
 
 
 def plain_words(text: Column) -> Column:
@@ -34,8 +34,7 @@ def plain_words(text: Column) -> Column:
 
 
 def _class_of(word: str) -> str:
-    kind = "0" if word[0].isdigit() else "a" if word[0].isascii() else "f"
-    return f"\x00{kind}{min(len(word), 12) // 3}"
+    return "\x00" + (word[-3:] if len(word) > 6 else str(len(word)))
 
 
 def train(docs: DataFrame, levels: DataFrame, id_col: str = "doc_id", text: str = "text", grade: str = "grade", min_docs: int = 4, max_vocabulary: int = MAX_VOCABULARY):
@@ -54,13 +53,25 @@ def train(docs: DataFrame, levels: DataFrame, id_col: str = "doc_id", text: str
     usual = F.col("docs") >= min_docs
     top = counts.where(usual).orderBy(F.desc("docs"), "word").limit(max_vocabulary)
     rows = top.collect()
-    length = F.least(F.length("word"), F.lit(12))
-    kind = F.when(F.col("word").rlike(r"^\p{Nd}"), "0").when(F.col("word").rlike(r"^[\x00-\x7f]"), "a").otherwise("f")
-    rest = counts.join(top.select("word"), "word", "left_anti").groupBy(F.concat(kind, F.floor(length / 3).cast("string")).alias("c")).agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in range(len(grades))]).collect()
-    names = [r["word"] for r in rows] + ["\x00" + r["c"] for r in rest]
-    table = np.array([[r[f"g{i}"] for i in range(len(grades))] for r in [*rows, *rest]], float) + ALPHA
+    kind = F.when(F.length("word") > 6, F.substring("word", -3, 3)).otherwise(F.length("word").cast("string"))
+    g = range(len(grades))
+    classes = counts.groupBy(kind.alias("c")).agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in g]).orderBy(F.desc("g0"), "c").limit(max_vocabulary).collect()
+    of_class = {"\x00" + r["c"]: np.array([r[f"g{i}"] for i in g], float) for r in classes}
+    sums = sum(of_class.values())
+    profile = {c: (v + BACKOFF * sums / sums.sum()) / (v.sum() + BACKOFF) for c, v in of_class.items()}
+    usual_of_class = {c: np.zeros(len(grades)) for c in of_class}
+    words, table = [r["word"] for r in rows], []
+    for r in rows:
+        own = np.array([r[f"g{i}"] for i in g], float)
+        c = _class_of(r["word"])
+        if c in of_class:
+            usual_of_class[c] += own
+        table.append(own + BACKOFF * profile.get(c, sums / sums.sum()))
+    rest = {c: np.maximum(v - usual_of_class[c], 0) + BACKOFF * profile[c] for c, v in of_class.items()}
+    names = [*words, *rest]
+    table = np.array([*table, *rest.values()])
     logs = np.log(table / table.sum(0))
-    prior = np.log(np.array([priors[g] for g in grades]) / sum(priors.values()))
+    prior = np.log(np.array([priors[x] for x in grades]) / sum(priors.values()))
     return {w: i for i, w in enumerate(names)}, logs, prior, grades
 
 
