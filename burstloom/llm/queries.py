@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstloom.llm import components, consistent, distinctive, frequency, leaks, mixing, reading
+from burstloom.llm import components, consistent, distinctive, frequency, garbled, leaks, mixing, neardup, reading
 from burstloom.session import materialise
 from burstloom.sources.readers import table
 
@@ -24,6 +24,36 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent.lookalike_pairs(classes, "seq")
 
 
+def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "alldata").select("seq", "posts_windowing", "loaded_at")
+
+
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    posts = _posts(spark, sf_dir)
+    bad = materialise(garbled.garbled_rows(posts, "seq", "posts_windowing", "loaded_at").select("seq"))
+    return neardup.near_duplicates(posts, "seq", "posts_windowing", "loaded_at", leave_out=bad)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of posts with at least 70 % of their distinct words in common."""
+    return neardup.all_pairs(*_near(spark, sf_dir), "seq")
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every post with its class of equal word sets, its links and its group."""
+    return neardup.duplicate_groups(*_near(spark, sf_dir), "seq")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with garbled text."""
+    return garbled.garbled_rows(_posts(spark, sf_dir), "seq", "posts_windowing", "loaded_at").select("seq")
+
+
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected posts with their restored text, null where characters are lost."""
+    return garbled.garbled_rows(_posts(spark, sf_dir), "seq", "posts_windowing", "loaded_at")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tied node with the smallest node of its group."""
     return components.segment_groups(table(spark, sf_dir, "similaritygraph"))
@@ -91,7 +121,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p4_found, p5_counts, p5_found, p7_scores, p7_found, p8_found, p9_found, p9_report, p9_mix, p10_levels, p10_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_groups, p4_found, p5_counts, p5_found, p6_found, p6_restored, p7_scores, p7_found, p8_found, p9_found, p9_report, p9_mix, p10_levels, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
