@@ -48,9 +48,9 @@ def word_sets(df: DataFrame, id_col: str, text_col: str, time_col: str | None) -
     cols = [id_col, F.col(text_col).alias("_text")] + ([time_col] if time_col else [])
     marked = with_consistent_text(df.where(F.col(id_col).isNotNull()).select(*cols), "_text").where("consistent_text <> ''")
     found = words(F.col("consistent_text"))
-    hashed = F.array_sort(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w).cast("int"))))
+    hashed = F.array_sort(F.array_distinct(F.transform(found, lambda w: F.hash(w))))
     sets = marked.withColumn("ws", hashed)
-    alone = F.array(F.xxhash64("consistent_text").cast("int"))
+    alone = F.array(F.hash(F.lit("\x00"), "consistent_text"))
     none = F.size("ws") == 0
     return sets.select(
         id_col,
