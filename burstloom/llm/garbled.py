@@ -24,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstloom.llm.consistent import TO_LATIN
+from burstloom.session import materialise
 
 #: code pages that UTF-8 text was read in
 PAGES = ("cp1252", "cp1256", "mac_roman", "cp1251", "koi8_r", "cp437", "cp850", "cp866", "iso8859_6", "cp1250")
@@ -49,9 +51,13 @@ _SUSPICIOUS = (
 )
 
 
+#: every suspicious sequence has one of these, and few clean texts have any
+_SIGN = r"[\x{0080}-\x{0084}\x{0086}-\x{009F}\x{00A1}-\x{00AC}\x{00AE}-\x{05FF}\x{0679}\x{0688}\x{0691}\x{06BA}\x{06BE}\x{2010}-\x{202E}\x{2030}-\x{205F}\x{2100}-\x{25FF}\x{20AC}\x{F8FF}\x{FB01}\x{FB02}\x{FFFD}]"
+
+
 def suspicious(text: Column) -> Column:
     """Whether a text has a sequence that some chain can have produced; a superset of the affected ones."""
-    return text.rlike(_SUSPICIOUS)
+    return text.rlike(_SIGN) & text.rlike(_SUSPICIOUS)
 
 
 # ---- the model ----------------------------------------------------------------------------------------------
@@ -80,19 +86,28 @@ def class_numbers(text: str) -> np.ndarray:
     return _classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that are not clean as they are, and at the end the pair counts of all clean rows of the task (kind ``pairs``)."""
     total = np.zeros(_SIZE * _SIZE, np.int64)
+    names = ["id", "at", "t", "kind", "i", "n"]
+    kinds: list[pa.DataType] = []
     for b in batches:
-        c = class_numbers("\n".join(t for t in b.column(0).to_pylist() if t))
+        kinds = [c.type for c in b.columns[:3]]
+        clean = pc.equal(b.column(3), "clean")
+        c = class_numbers("\n".join(b.column(2).filter(clean).to_pylist()))
         if len(c) > 1:
             total += np.bincount(c[:-1].astype(np.int64) * _SIZE + c[1:], minlength=len(total))
+        rest = b.filter(pc.invert(clean))
+        none = pa.nulls(len(rest), pa.int64())
+        yield pa.RecordBatch.from_arrays([*rest.columns, none, none], names=names)
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
+    if kinds:
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), k) for k in kinds), pa.array(["pairs"] * len(at), pa.string()), pa.array(at), pa.array(total[at])], names=names)
 
 
-def train(texts: DataFrame, column: str) -> np.ndarray:
-    """Log-probabilities (class x class) with Witten-Bell smoothing, from all texts of ``column``."""
-    rows = texts.select(column).mapInArrow(_count_pairs, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+def train(pairs: DataFrame) -> np.ndarray:
+    """Log-probabilities (class x class) with Witten-Bell smoothing, from pair counts (i, n)."""
+    rows = pairs.groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(_SIZE * _SIZE)
     counts[rows.column("i").to_numpy()] = rows.column("n").to_numpy()
     counts = counts.reshape(_SIZE, _SIZE)
@@ -106,6 +121,8 @@ def log_likelihood(model: np.ndarray, text: str) -> float:
     return float(model[c[:-1], c[1:]].sum())
 
 
+#: a character beyond ASCII and the Arabic letters, digits and signs; a restored text without one was garbled once
+_ODD = re.compile("[\x80-\u05ff\u0700-\u1fff\u2010-\u25ff]")
 _FOLD = {ord(a): b for a, b in TO_LATIN.items()}
 
 
@@ -143,21 +160,26 @@ _HIGH = re.compile("[\x80-\xff]+(?:[\\x09-\\x40\\x5b-\\x60\\x7b-\\x7e]{1,3}[\x80
 
 
 @functools.cache
-def _translator(page: str) -> dict[int, int]:
-    """For ``str.translate``: characters of the page become their bytes, all others beyond ASCII an impossible one."""
+def _bytes_table(page: str) -> np.ndarray:
+    """Code point -> byte of the page it stands for; 0x100 for characters beyond ASCII that the page has not."""
+    table = np.full(0x110000, 0x100, np.uint32)
+    table[:128] = np.arange(128)
+    for c, byte in _byte_of(page).items():
+        table[c] = byte
+    return table
 
-    class Table(dict):
-        def __missing__(self, key: int) -> int:
-            return key if key < 128 else 0x100
 
-    return Table(_byte_of(page))
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def spans(text: str, chain: tuple[str, str]) -> Iterator[tuple[int, int, str]]:
-    """(start, end, restored) of the parts of ``text`` that the chain can have produced."""
+def spans(points: np.ndarray, chain: tuple[str, str]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, restored) of the parts of a text that the chain can have produced."""
     page, right = chain
-    as_bytes = text.translate(_translator(page))
-    for m in (_RUN if right == "utf-8" else _HIGH).finditer(as_bytes):
+    as_bytes = _bytes_table(page)[points]
+    if not ((as_bytes & 0x180) == 0x80).any():
+        return
+    for m in (_RUN if right == "utf-8" else _HIGH).finditer(as_bytes.astype("<u4").tobytes().decode("utf-32-le")):
         try:
             yield m.start(), m.end(), m.group().encode("latin-1").decode(right)
         except UnicodeDecodeError:
@@ -167,12 +189,20 @@ def spans(text: str, chain: tuple[str, str]) -> Iterator[tuple[int, int, str]]:
 def best_spans(model: np.ndarray, text: str) -> list[tuple[float, int, int, str]]:
     """(gain, start, end, restored): for overlapping spans of several chains the one that gains most, if it gains at all."""
     found = []
+    points = code_points(text)
+    classes = _classes()[points]
+    along = np.concatenate([[0.0], np.cumsum(model[classes[:-1], classes[1:]], dtype=np.float64)]) if len(classes) else np.zeros(1)
+    foldable = any(c in TO_LATIN for c in set(text))
     for order, chain in enumerate(CHAINS):
-        for a, b, new in spans(text, chain):
+        for a, b, new in spans(points, chain):
             left, right = text[a - 1] if a else "\n", text[b] if b < len(text) else "\n"
-            gain = log_likelihood(model, left + new + right) - as_stored(model, left + text[a:b] + right)
+            if a and b < len(text) and not foldable:
+                own = along[b] - along[a - 1]
+            else:
+                own = as_stored(model, left + text[a:b] + right)
+            gain = log_likelihood(model, left + new + right) - own
             if gain > 0:
-                found.append((gain, -order, a, b, new))
+                found.append((float(gain), -order, a, b, new))
     found.sort(reverse=True)
     taken: list[tuple[float, int, int, str]] = []
     for gain, _, a, b, new in found:
@@ -193,6 +223,8 @@ def restore(model: np.ndarray, margin: float, text: str, depth: int = 3) -> tupl
             parts += [text[at:a], new]
             at = b
         text = "".join([*parts, text[at:]])
+        if not _ODD.search(text):
+            break
     return affected, text
 
 
@@ -237,33 +269,35 @@ def validate(held: DataFrame, column: str, model) -> float:
 
 def garbled_rows(df: DataFrame, id_col: str, text_col: str, time_col: str | None = None) -> DataFrame:
     """(id, restored): the affected records; ``restored`` is null where characters are lost."""
-    cols = [id_col, text_col] + ([time_col] if time_col else [])
-    texts = df.where(F.col(id_col).isNotNull() & (F.col(text_col) != "")).select(*cols)
-    bad = suspicious(F.col(text_col))
-    clean = texts.where(~bad)
-    held = F.pmod(F.xxhash64(id_col), F.lit(HELD_OUT)) == 0
+    time = F.col(time_col).cast("timestamp_ntz") if time_col else F.lit(None).cast("timestamp_ntz")
+    texts = df.where(F.col(id_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).alias("id"), time.alias("at"), F.col(text_col).alias("t"))
+    held_out = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
+    kind = F.when(suspicious(F.col("t")), "bad").when(held_out, "held").otherwise("clean")
+    # one pass over the texts: clean ones leave only their pair counts, the few others are kept
+    sifted = materialise(texts.withColumn("kind", kind).mapInArrow(_sift, texts.withColumns({"kind": F.lit(""), "i": F.lit(None).cast("long"), "n": F.lit(None).cast("long")}).schema))
     sc = df.sparkSession.sparkContext
-    shared = sc.broadcast(train(clean.where(~held), text_col))
-    margin = validate(clean.where(held), text_col, shared)
+    shared = sc.broadcast(train(sifted.where("kind = 'pairs'").select("i", "n")))
+    held = sifted.where("kind = 'held'").select("t")
+    margin = validate(held, "t", shared)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
             keep, out = [], []
-            at = b.schema.get_field_index(text_col)
-            for i, t in enumerate(b.column(at).to_pylist()):
+            for i, t in enumerate(b.column(2).to_pylist()):
                 affected, new = restore(model, margin, t)
                 if affected:
                     keep.append(i)
                     out.append(None if "�" in new else new)
             kept = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([c for j, c in enumerate(kept.columns) if j != at] + [pa.array(out, pa.string())], names=[n for n in kept.schema.names if n != text_col] + ["restored"])
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(out, pa.string())], names=["id", "at", "restored"])
 
-    schema = texts.drop(text_col).withColumn("restored", F.lit(None).cast("string")).schema
-    found = texts.where(bad).mapInArrow(judge, schema)
+    bad = sifted.where("kind = 'bad'").select("id", "at", "t")
+    schema = bad.drop("t").withColumn("restored", F.lit(None).cast("string")).schema
+    found = bad.repartition(sc.defaultParallelism, "id").mapInArrow(judge, schema)
     if time_col is None:
-        return found.groupBy(id_col).agg(F.min("restored").alias("restored"))
+        return found.groupBy(F.col("id").alias(id_col)).agg(F.min("restored").alias("restored"))
     # a later delivery counts only if it is the earliest one of its post
-    firsts = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(time_col).alias(time_col))
-    once = found.groupBy(id_col, time_col).agg(F.min("restored").alias("restored"))
-    return once.join(firsts, [id_col, time_col], "left_semi").select(id_col, "restored")
+    firsts = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(time_col).cast("timestamp_ntz")).alias("at"))
+    once = found.groupBy("id", "at").agg(F.min("restored").alias("restored"))
+    return once.join(firsts, ["id", "at"], "left_semi").select(F.col("id").alias(id_col), "restored")
