@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burstloom.plans import burst_queries, event_queries, ngram_queries, packed_queries, text_queries, window_queries
+from burstloom.plans import burst_queries, eval_queries, event_queries, ngram_queries, packed_queries, text_queries, window_queries
 
-_MODULES = (packed_queries, burst_queries, text_queries, ngram_queries, window_queries, event_queries)
+_MODULES = (packed_queries, burst_queries, text_queries, ngram_queries, window_queries, event_queries, eval_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
