@@ -186,9 +186,8 @@ def spans(points: np.ndarray, chain: tuple[str, str]) -> Iterator[tuple[int, int
             continue
 
 
-def best_spans(model: np.ndarray, text: str) -> list[tuple[float, int, int, str]]:
-    """(gain, start, end, restored): for overlapping spans of several chains the one that gains most, if it gains at all."""
-    found = []
+def _gains(model: np.ndarray, text: str) -> Iterator[tuple[float, int, int, int, str]]:
+    """(gain, -chain number, start, end, restored) of every span of every chain that gains anything."""
     points = code_points(text)
     classes = _classes()[points]
     along = np.concatenate([[0.0], np.cumsum(model[classes[:-1], classes[1:]], dtype=np.float64)]) if len(classes) else np.zeros(1)
@@ -202,8 +201,17 @@ def best_spans(model: np.ndarray, text: str) -> list[tuple[float, int, int, str]
                 own = as_stored(model, left + text[a:b] + right)
             gain = log_likelihood(model, left + new + right) - own
             if gain > 0:
-                found.append((float(gain), -order, a, b, new))
-    found.sort(reverse=True)
+                yield float(gain), -order, a, b, new
+
+
+def is_affected(model: np.ndarray, margin: float, text: str) -> bool:
+    """Whether :func:`restore` finds anything; the chains are left as soon as one span passes the margin."""
+    return "�" in text or any(g[0] > margin for g in _gains(model, text))
+
+
+def best_spans(model: np.ndarray, text: str) -> list[tuple[float, int, int, str]]:
+    """(gain, start, end, restored): for overlapping spans of several chains the one that gains most, if it gains at all."""
+    found = sorted(_gains(model, text), reverse=True)
     taken: list[tuple[float, int, int, str]] = []
     for gain, _, a, b, new in found:
         if all(b <= x or a >= y for _, x, y, _ in taken):
@@ -267,8 +275,8 @@ def validate(held: DataFrame, column: str, model) -> float:
     return float(clean + max(bad - clean, 0) / 6)
 
 
-def garbled_rows(df: DataFrame, id_col: str, text_col: str, time_col: str | None = None) -> DataFrame:
-    """(id, restored): the affected records; ``restored`` is null where characters are lost."""
+def garbled_rows(df: DataFrame, id_col: str, text_col: str, time_col: str | None = None, restoring: bool = True) -> DataFrame:
+    """(id, restored): the affected records; ``restored`` is null where characters are lost, and everywhere without ``restoring``."""
     time = F.col(time_col).cast("timestamp_ntz") if time_col else F.lit(None).cast("timestamp_ntz")
     texts = df.where(F.col(id_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).alias("id"), time.alias("at"), F.col(text_col).alias("t"))
     held_out = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
@@ -285,7 +293,7 @@ def garbled_rows(df: DataFrame, id_col: str, text_col: str, time_col: str | None
         for b in batches:
             keep, out = [], []
             for i, t in enumerate(b.column(2).to_pylist()):
-                affected, new = restore(model, margin, t)
+                affected, new = restore(model, margin, t) if restoring else (is_affected(model, margin, t), "�")
                 if affected:
                     keep.append(i)
                     out.append(None if "�" in new else new)

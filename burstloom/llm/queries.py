@@ -30,7 +30,7 @@ def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     posts = _posts(spark, sf_dir)
-    bad = materialise(garbled.garbled_rows(posts, "seq", "posts_windowing", "loaded_at").select("seq"))
+    bad = materialise(garbled.garbled_rows(posts, "seq", "posts_windowing", "loaded_at", restoring=False).select("seq"))
     return neardup.near_duplicates(posts, "seq", "posts_windowing", "loaded_at", leave_out=bad)
 
 
@@ -46,7 +46,7 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts with garbled text."""
-    return garbled.garbled_rows(_posts(spark, sf_dir), "seq", "posts_windowing", "loaded_at").select("seq")
+    return garbled.garbled_rows(_posts(spark, sf_dir), "seq", "posts_windowing", "loaded_at", restoring=False).select("seq")
 
 
 def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
