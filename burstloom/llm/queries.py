@@ -75,7 +75,8 @@ def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = table(spark, sf_dir, "alldata").select("seq", "window_num")
     rows = table(spark, sf_dir, "postsegments").select("seq", "pos", "current_segment")
     counts = materialise(distinctive.record_terms(posts, rows, "seq", "window_num", "pos", "current_segment"))
-    return distinctive.distinctiveness(counts).withColumnsRenamed({"record": "window_num", "term": "current_segment"})
+    scored = distinctive.distinctiveness(counts).withColumn("score", F.round("score", 8))
+    return scored.withColumnsRenamed({"record": "window_num", "term": "current_segment"})
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +125,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p2_found, p3_found, p3_groups, p4_found, p5_counts, p5_found, p6_found, p6_restored, p7_scores, p7_found, p8_found, p9_found, p9_report, p9_mix, p10_levels, p10_found)}
 
 
+_SEGS = "WITH once AS (SELECT seq, pos, min(current_segment) AS seg FROM postsegments WHERE current_segment <> '' AND seq IS NOT NULL GROUP BY seq, pos)"
+_P5 = _SEGS + """, c AS (SELECT seg AS current_segment, count(*) AS occurrences, count(DISTINCT seq) AS posts FROM once GROUP BY seg), t AS (SELECT count(DISTINCT seq) AS total FROM once),
+m AS (SELECT c.*, CASE WHEN posts < 3 THEN 'rare' WHEN posts / total > 0.05 THEN 'common' END AS mark FROM c, t)"""
+_P7 = _SEGS + """, home AS (SELECT seq, min(window_num) AS w FROM alldata WHERE seq IS NOT NULL AND window_num IS NOT NULL GROUP BY seq), c AS (SELECT w, seg, count(*) AS occurrences, count(DISTINCT seq) AS posts FROM once JOIN home USING (seq) GROUP BY w, seg),
+z AS (SELECT *, sum(occurrences) OVER (PARTITION BY seg)::DOUBLE / sum(occurrences) OVER () AS pa, sum(occurrences) OVER (PARTITION BY w) AS size, sum(posts) OVER (PARTITION BY seg)::BIGINT AS term_posts FROM c),
+y AS (SELECT w AS window_num, seg AS current_segment, occurrences, posts, term_posts, pa, (occurrences + 2000.0::DOUBLE * pa) / (size + 2000.0::DOUBLE) AS pr FROM z)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": """WITH RECURSIVE e AS (SELECT DISTINCT node_a AS a, node_b AS b FROM similaritygraph WHERE weight IS NOT NULL AND NOT isnan(weight) AND weight >= 0.6 AND node_a <> node_b),
+d AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS label FROM d UNION SELECT d.b AS node, r.label FROM r JOIN d ON d.a = r.node AND d.b > r.label)
+SELECT node AS node_id, min(label) AS group_id FROM r GROUP BY node""",
+        "p5_counts": _P5 + " SELECT current_segment, occurrences, posts, mark FROM m",
+        "p5_found": _P5 + " SELECT current_segment, mark FROM m WHERE mark IS NOT NULL",
+        "p7_scores": _P7 + " SELECT window_num, current_segment, occurrences, posts, term_posts, round(pr * ln(pr / pa), 8) AS score FROM y",
+        "p7_found": _P7 + " SELECT window_num, current_segment FROM y WHERE posts >= 5 AND posts >= 0.8 * term_posts",
+    }
