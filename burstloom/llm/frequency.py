@@ -22,6 +22,8 @@ from burstloom.session import materialise
 
 #: identifiers of one count array
 BLOCK_BITS = 14
+#: blocks that a task holds before it passes on what it has counted
+MAX_BLOCKS = 400
 
 
 def dictionary(rows: DataFrame, term: str) -> DataFrame:
@@ -30,6 +32,14 @@ def dictionary(rows: DataFrame, term: str) -> DataFrame:
     return materialise(terms.withColumn("id", F.monotonically_increasing_id()))
 
 
+def _filled(occurrences: dict[int, np.ndarray], presence: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The cells of the arrays that are not zero. A term may be present from before while its record goes on."""
+    for block, counts in occurrences.items():
+        at = np.flatnonzero(counts)
+        there = presence[block][at] if block in presence else np.zeros(len(at), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at + (block << BLOCK_BITS)), pa.array(counts[at]), pa.array(there)], names=["id", "occurrences", "records"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blockwise arrays of one partition, given as its cells that are not zero; rows of a record are neighbours.
 
@@ -62,11 +72,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.unique(np.stack([rec, ids]), axis=1)
         new = pairs[1][~((pairs[0] == seen_rest[0]) & np.isin(pairs[1], seen_rest[1]))] if seen_rest[0] is not None else pairs[1]
         add(presence, new)
+        if len(occurrences) > MAX_BLOCKS:
+            yield from _filled(occurrences, presence)
+            occurrences.clear()
+            presence.clear()
         tail = pairs[1][pairs[0] == last]
         seen_rest = (last, np.union1d(tail, seen_rest[1]) if seen_rest[0] == last else tail)
-    for block, counts in occurrences.items():
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at + (block << BLOCK_BITS)), pa.array(counts[at]), pa.array(presence[block][at])], names=["id", "occurrences", "records"])
+    yield from _filled(occurrences, presence)
     if records:
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([records]), pa.array([records])], names=["id", "occurrences", "records"])
 

@@ -27,6 +27,8 @@ from burstloom.llm.words import words
 from burstloom.session import materialise
 
 SKETCH_BITS = 56
+#: classes that a task remembers to have banded
+SEEN = 500_000
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -68,10 +70,17 @@ def _banding(rows: int, bands: int, seed: int):
     add = rng.integers(0, 2**63, n, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            lists = b.column(1)
-            if not len(b):
+            # a class that very many posts have is banded once by a task, not once a post
+            fresh = [i for i, c in enumerate(b.column(0).to_pylist()) if c not in seen and not seen.add(c)]
+            if len(seen) > SEEN:
+                seen.clear()
+            if not fresh:
                 continue
+            if len(fresh) < len(b):
+                b = b.take(pa.array(fresh, pa.int64()))
+            lists = b.column(1)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
             flat ^= flat >> np.uint64(15)
             flat *= np.uint64(0x9E3779B97F4A7C15)
