@@ -101,18 +101,38 @@ def silhouette(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return scores.join(clusters, "window_id").select("window_id", F.when(flat, -1.0).otherwise(F.col("s")).alias("silhouette"))
 
 
-def cluster_grid(nodes: DataFrame, edges: DataFrame, grid: list[tuple[int, int]]) -> DataFrame:
-    """(window_id, k, k_min, silhouette) for every parameter pair; neighbour lists are taken once, for the largest k, and cut by rank.
+def auto_grid(nodes: DataFrame) -> DataFrame:
+    """(window_id, k, k_min): per window k under round(n/5) and k_min under min(k + 1, round(n/10)), in steps that grow with n; half rounds to even."""
+    n = nodes.groupBy("window_id").agg(F.count("*").alias("n"))
+    top, low = F.bround(F.col("n") / 5, 0).cast("int"), F.bround(F.col("n") / 10, 0).cast("int")
+    sized = n.select("window_id", top.alias("top"), low.alias("low")).where("top > 1 and low > 1")
+    step = lambda c, by: F.greatest(F.lit(1), F.bround(F.col(c) / by, 0).cast("int"))
+    ks = sized.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("top") - 1, step("top", 50))))
+    return ks.select("window_id", "k", F.explode(F.sequence(F.lit(1), F.least(F.col("k") + 1, F.col("low")) - 1, step("low", 20))).alias("k_min"))
 
-    Noise counts as one cluster of its own.
+
+def range_grid(nodes: DataFrame, lo: int, hi: int, step: int = 1) -> DataFrame:
+    """(window_id, k, k_min) for every window: k in [lo, hi) and k_min in [1, k), every ``step``."""
+    ks = nodes.select("window_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1), F.lit(step))))
+    return ks.where("k > 1").select("window_id", "k", F.explode(F.sequence(F.lit(1), F.col("k") - 1, F.lit(step))).alias("k_min"))
+
+
+def cluster_grid(nodes: DataFrame, edges: DataFrame, grid: DataFrame) -> DataFrame:
+    """(window_id, k, k_min, silhouette) for every row of ``grid``, in one pass: each parameter pair of a window is a window of its own.
+
+    Neighbour lists are taken once and cut by rank. Noise counts as one cluster. k_min must be at least 1.
     """
-    near = materialise(knn(edges, max(k for k, _ in grid)))
-    out: DataFrame | None = None
-    for k, k_min in grid:
-        labels = noise_clusters(jarvis_patrick(nodes, edges, k, k_min, near))
-        part = silhouette(labels, edges).select("window_id", F.lit(k).alias("k"), F.lit(k_min).alias("k_min"), "silhouette")
-        out = part if out is None else out.unionByName(part)
-    return out
+    key = F.concat_ws(":", "window_id", "k", "k_min")
+    pairs = materialise(grid.where("k_min >= 1 and k_min <= k").withColumn("key", key))
+    most = pairs.agg(F.max("k")).first()[0]
+    if most is None:
+        return pairs.select("window_id", "k", "k_min", F.lit(-1.0).alias("silhouette"))
+    keyed = lambda df: df.join(pairs, "window_id").drop("window_id").withColumnRenamed("key", "window_id")
+    near = materialise(keyed(knn(edges, most)).where("rank <= k").select("window_id", "a", "b", "rank"))
+    links = shared_neighbors(near, mutual_knn(near), 1).join(pairs.select(F.col("key").alias("window_id"), "k_min"), "window_id").where("shared >= k_min")
+    labels = materialise(noise_clusters(min_labels(keyed(nodes).select("window_id", "node"), links).withColumnRenamed("label", "cluster")))
+    scores = silhouette(labels, keyed(edges).select("window_id", "a", "b", "w"))
+    return scores.withColumnRenamed("window_id", "key").join(pairs, "key").select("window_id", "k", "k_min", "silhouette")
 
 
 def best_of_grid(scores: DataFrame) -> DataFrame:

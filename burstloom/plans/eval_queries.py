@@ -53,9 +53,9 @@ def _step(s, d):
 
 
 def _sweep(s, d):
-    """Silhouette of every parameter pair with the number of clusters it leaves."""
+    """Silhouette of every parameter pair (k from 50 to 117, every 17th)."""
     n, e = nodes(s, d), edges(s, d)
-    scores = cluster.cluster_grid(n, e, [(6, 2), (12, 3)])
+    scores = cluster.cluster_grid(n, e, cluster.range_grid(n, 50, 118, 17))
     return scores.withColumn("silhouette", F.round("silhouette", 6))
 
 

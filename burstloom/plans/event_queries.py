@@ -75,7 +75,8 @@ def _silhouette(s, d):
 
 
 def _grid(s, d, grid):
-    return _r6(cluster.cluster_grid(nodes(s, d), edges(s, d), grid), "silhouette")
+    n = nodes(s, d)
+    return _r6(cluster.cluster_grid(n, edges(s, d), grid(n)), "silhouette")
 
 
 QUERIES = {
@@ -86,8 +87,8 @@ QUERIES = {
     "noise_clusters": lambda s, d: cluster.noise_clusters(_jp(s, d)),
     "cluster_fixed": lambda s, d: cluster.cluster_fixed(nodes(s, d), edges(s, d), K, K_MIN),
     "silhouette": _silhouette,
-    "cluster_grid_auto": lambda s, d: cluster.best_of_grid(_grid(s, d, [(k, m) for k in (2, 5) for m in (1, 2)])),
-    "cluster_grid_range": lambda s, d: _grid(s, d, [(5, 1), (10, 2), (15, 3)]),
+    "cluster_grid_auto": lambda s, d: cluster.best_of_grid(_grid(s, d, cluster.auto_grid)),
+    "cluster_grid_range": lambda s, d: _grid(s, d, lambda n: cluster.range_grid(n, 5, 50, 5)),
     "segment_news": lambda s, d: _r6(events.segment_news(nodes(s, d), _kb(s, d)), "mu"),
     "segment_news_lm": lambda s, d: _r6(lm_score(nodes(s, d)), "score"),
     "event_news": lambda s, d: _r6(_news(s, d), "mu_e"),

@@ -164,3 +164,16 @@ def test_silhouette_matches_all_pairs(spark):
     labels = spark.createDataFrame([(1, n, c) for n, c in label.items()], "window_id int, node long, cluster long")
     assert cluster.silhouette(labels, edges).first()["silhouette"] == pytest.approx(sum(values) / 4)
     assert math.isclose(cluster.silhouette(labels.where("cluster = 1"), edges).first()["silhouette"], -1.0)
+
+
+def test_grid_equals_single_runs(spark):
+    rng = random.Random(8)
+    edges = spark.createDataFrame([(w, a, b, rng.random()) for w in (1, 2) for a in range(12) for b in range(a + 1, 12) if rng.random() < 0.5], "window_id int, a long, b long, w double")
+    nodes = spark.createDataFrame([(w, n) for w in (1, 2) for n in range(12)], "window_id int, node long")
+    grid = cluster.range_grid(nodes, 3, 6, 2)
+    got = {(r["window_id"], r["k"], r["k_min"]): r["silhouette"] for r in cluster.cluster_grid(nodes, edges, grid).collect()}
+    assert {k[1:] for k in got} == {(3, 1), (5, 1), (5, 3)}
+    for k, k_min in ((3, 1), (5, 3)):
+        labels = cluster.noise_clusters(cluster.jarvis_patrick(nodes, edges, k, k_min))
+        for r in cluster.silhouette(labels, edges).collect():
+            assert got[r["window_id"], k, k_min] == pytest.approx(r["silhouette"])
