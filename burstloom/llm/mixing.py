@@ -160,9 +160,15 @@ class Mix:
         return at.join(want, "pattern").where("at >= lo and at < hi").select(id_col, "source", "use", "n_tokens")
 
 
-def mix(docs: DataFrame, targets: DataFrame, tokenizer_path: str, text: str = "text", source: str = "source") -> Mix:
-    """The mix of ``docs`` (one source per document) for a table of (source, target_share, max_repeat)."""
+def mix(docs: DataFrame, targets: DataFrame, tokenizer_path: str | None, text: str = "text", source: str = "source") -> Mix:
+    """The mix of ``docs`` (one source per document) for a table of (source, target_share, max_repeat); without a tokenizer sizes are blank-separated words."""
     members = F.when(F.col(source).isNotNull(), F.array(source)).otherwise(F.array().cast("array<string>"))
-    sized = with_token_counts(docs.select(*[c for c in docs.columns if c not in ("members", "n_tokens")]), text, tokenizer_path).withColumn("members", members)
+    bare = docs.select(*[c for c in docs.columns if c not in ("members", "n_tokens")])
+    if tokenizer_path is None:
+        sized = bare.withColumn("n_tokens", F.coalesce(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")), F.lit(0)).cast("long"))
+        sized = sized.withColumn("n_tokens", F.greatest("n_tokens", F.lit(0)))
+    else:
+        sized = with_token_counts(bare, text, tokenizer_path)
+    sized = sized.withColumn("members", members)
     rows = [(r["source"], r["target_share"], r["max_repeat"]) for r in targets.select("source", "target_share", "max_repeat").collect()]
     return Mix(sized, rows)

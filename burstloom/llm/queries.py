@@ -99,6 +99,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).report().where("missing > 0").select("source")
 
 
+def p9_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with sizes in blank-separated words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, table(spark, sf_dir, "mixtargets"), None).report().where("missing > 0").select("source")
+
+
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of every source."""
     return _mix(spark, sf_dir).report()
@@ -122,7 +128,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_groups, p4_found, p5_counts, p5_found, p6_found, p6_restored, p7_scores, p7_found, p8_found, p9_found, p9_report, p9_mix, p10_levels, p10_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_groups, p4_found, p5_counts, p5_found, p6_found, p6_restored, p7_scores, p7_found, p8_found, p9_found, p9_words, p9_report, p9_mix, p10_levels, p10_found)}
 
 
 _SEGS = "WITH once AS (SELECT seq, pos, min(current_segment) AS seg FROM postsegments WHERE current_segment <> '' AND seq IS NOT NULL GROUP BY seq, pos)"
@@ -141,5 +147,7 @@ SELECT node AS node_id, min(label) AS group_id FROM r GROUP BY node""",
         "p5_counts": _P5 + " SELECT current_segment, occurrences, posts, mark FROM m",
         "p5_found": _P5 + " SELECT current_segment, mark FROM m WHERE mark IS NOT NULL",
         "p7_scores": _P7 + " SELECT window_num, current_segment, occurrences, posts, term_posts, round(pr * ln(pr / pa), 8) AS score FROM y",
+        "p9_words": """WITH w AS (SELECT source, sum(coalesce(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')), 0)) AS n FROM documents GROUP BY source), t AS (SELECT sum(n) AS t FROM w)
+SELECT m.source FROM (SELECT source, sum(target_share) AS s, max(max_repeat) AS r FROM mixtargets GROUP BY source) m LEFT JOIN w USING (source), t WHERE coalesce(w.n, 0) * r < ceil(s * t)""",
         "p7_found": _P7 + " SELECT window_num, current_segment FROM y WHERE posts >= 5 AND posts >= 0.8 * term_posts",
     }
