@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from burstloom.operators.grid import grid_silhouettes
 from burstloom.session import materialise, release
 
 
@@ -118,21 +119,11 @@ def range_grid(nodes: DataFrame, lo: int, hi: int, step: int = 1) -> DataFrame:
 
 
 def cluster_grid(nodes: DataFrame, edges: DataFrame, grid: DataFrame) -> DataFrame:
-    """(window_id, k, k_min, silhouette) for every row of ``grid``, in one pass: each parameter pair of a window is a window of its own.
+    """(window_id, k, k_min, silhouette) for every row of ``grid``, in one pass; pairs with equal links are scored once.
 
     Neighbour lists are taken once and cut by rank. Noise counts as one cluster. k_min must be at least 1.
     """
-    key = F.concat_ws(":", "window_id", "k", "k_min")
-    pairs = materialise(grid.where("k_min >= 1 and k_min <= k").withColumn("key", key))
-    most = pairs.agg(F.max("k")).first()[0]
-    if most is None:
-        return pairs.select("window_id", "k", "k_min", F.lit(-1.0).alias("silhouette"))
-    keyed = lambda df: df.join(pairs, "window_id").drop("window_id").withColumnRenamed("key", "window_id")
-    near = materialise(keyed(knn(edges, most)).where("rank <= k").select("window_id", "a", "b", "rank"))
-    links = shared_neighbors(near, mutual_knn(near), 1).join(pairs.select(F.col("key").alias("window_id"), "k_min"), "window_id").where("shared >= k_min")
-    labels = materialise(noise_clusters(min_labels(keyed(nodes).select("window_id", "node"), links).withColumnRenamed("label", "cluster")))
-    scores = silhouette(labels, keyed(edges).select("window_id", "a", "b", "w"))
-    return scores.withColumnRenamed("window_id", "key").join(pairs, "key").select("window_id", "k", "k_min", "silhouette")
+    return grid_silhouettes(nodes, edges, grid)
 
 
 def best_of_grid(scores: DataFrame) -> DataFrame:

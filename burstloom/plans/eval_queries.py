@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from burstloom.operators import cluster, evaluation, walk
+from burstloom.operators import cluster, evaluation, events, grid, walk
 from burstloom.operators.ngram import kb_from_posts
+from burstloom.operators.packed import packed_labels
 from burstloom.session import materialise
 from burstloom.sources.readers import table
 from burstloom.sources.views import POSTS_SQL, SEGMENTS_SQL, edges, nodes, posts, segments
@@ -52,11 +53,24 @@ def _step(s, d):
     return walk.walk_step(jump.select("node", F.lit(1.0 / max(n, 1)).alias("pi")), walk.transition_prob(_edges(s, d)), jump, GAMMA)
 
 
+def _labels(s, d):
+    """(gold_id, sample, field, pos, value): every label of both gold fields, with digits of all scripts as ASCII ones."""
+    g = table(s, d, "gldn_std")
+    value = F.translate("value", "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
+    return packed_labels(g, "gold_id", ["gold_class", "gold_cluster"]).withColumn("value", value).join(g.select("gold_id", "sample"), "gold_id")
+
+
 def _sweep(s, d):
-    """Silhouette of every parameter pair (k from 50 to 117, every 17th)."""
-    n, e = nodes(s, d), edges(s, d)
-    scores = cluster.cluster_grid(n, e, cluster.range_grid(n, 50, 118, 17))
-    return scores.withColumn("silhouette", F.round("silhouette", 6))
+    """Every pair k in [50, 118), k_min in [1, k): silhouette of the events kept under 5 and entropies of their post labels and the gold classes."""
+    n, e, segs = nodes(s, d), edges(s, d), segments(s, d)
+    classes = _labels(s, d).where("field = 'gold_class'").join(posts(s, d).select(F.col("post_id").alias("sample"), "window_id"), "sample")
+    classes = materialise(classes.select("window_id", "sample", "gold_id", "pos", F.xxhash64("value").alias("label")))
+    mu = events.segment_news(n, kb_from_posts(segs, posts(s, d)).select("seg_text", F.col("anchor_q").alias("q")))
+    rated = classes.select("window_id", "gold_id", F.col("sample").alias("post_id")).distinct()
+    held = segs.join(rated, ["window_id", "post_id"]).join(n, ["window_id", "seg_text"]).select("window_id", "node", "gold_id").distinct()
+    scored = n.join(mu, "seg_text", "left").select("window_id", "node", F.coalesce("mu", F.lit(0.0)).alias("mu"))
+    metrics = grid.sweep_metrics(scored, e, cluster.range_grid(n, 50, 118), held, classes, 5.0)
+    return _r(metrics, silhouette=6, class_entropy=6, cluster_entropy=6, f=6)
 
 
 def _r(df, **digits):
