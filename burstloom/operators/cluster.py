@@ -130,3 +130,10 @@ def best_of_grid(scores: DataFrame) -> DataFrame:
     """The parameters with the highest silhouette per window, the first of equal ones."""
     order = Window.partitionBy("window_id").orderBy(F.desc("silhouette"), "k", "k_min")
     return scores.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+
+
+def best_or_initial(scores: DataFrame, initial: DataFrame) -> DataFrame:
+    """One row for every window of ``initial`` (window_id, k, k_min): its best parameters of a silhouette over -1, else the initial ones with -1."""
+    best = best_of_grid(scores.where("silhouette > -1")).select("window_id", F.col("k").alias("best_k"), F.col("k_min").alias("best_min"), "silhouette")
+    joined = initial.join(best, "window_id", "left")
+    return joined.select("window_id", F.coalesce("best_k", "k").alias("k"), F.coalesce("best_min", "k_min").alias("k_min"), F.coalesce("silhouette", F.lit(-1.0)).alias("silhouette"))

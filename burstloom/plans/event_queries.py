@@ -79,6 +79,10 @@ def _grid(s, d, grid):
     return _r6(cluster.cluster_grid(n, edges(s, d), grid(n)), "silhouette")
 
 
+def _range(s, d):
+    return _grid(s, d, lambda n: cluster.range_grid(n, 5, 50))
+
+
 QUERIES = {
     "knn": _near,
     "mutual_knn": _mutual,
@@ -88,7 +92,8 @@ QUERIES = {
     "cluster_fixed": lambda s, d: cluster.cluster_fixed(nodes(s, d), edges(s, d), K, K_MIN),
     "silhouette": _silhouette,
     "cluster_grid_auto": lambda s, d: cluster.best_of_grid(_grid(s, d, cluster.auto_grid)),
-    "cluster_grid_range": lambda s, d: _grid(s, d, lambda n: cluster.range_grid(n, 5, 50, 5)),
+    "cluster_grid_range": _range,
+    "cluster_grid_range_best": lambda s, d: cluster.best_or_initial(_range(s, d), nodes(s, d).select("window_id", F.lit(10).alias("k"), F.lit(5).alias("k_min")).where("window_id is not null").distinct()),
     "segment_news": lambda s, d: _r6(events.segment_news(nodes(s, d), _kb(s, d)), "mu"),
     "segment_news_lm": lambda s, d: _r6(lm_score(nodes(s, d)), "score"),
     "event_news": lambda s, d: _r6(_news(s, d), "mu_e"),

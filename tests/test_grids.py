@@ -64,3 +64,11 @@ def test_sweep_query_has_every_pair(spark, data):
     df = catalog.queries()["param_sweep"](spark, data).localCheckpoint()
     assert {"silhouette", "class_entropy", "cluster_entropy", "f"} <= set(df.columns)
     assert {r["n"] for r in df.groupBy("window_id").agg(F.countDistinct("k", "k_min").alias("n")).collect()} == {5610}
+
+
+def test_range_query_has_every_pair_and_the_best(spark, data):
+    df = catalog.queries()["cluster_grid_range"](spark, data).localCheckpoint()
+    assert {r["n"] for r in df.groupBy("window_id").agg(F.countDistinct("k", "k_min").alias("n")).collect()} == {1170}
+    assert df.where("k = 15 and k_min = 6").count() == df.select("window_id").distinct().count()
+    best = {r["window_id"]: r["silhouette"] for r in catalog.queries()["cluster_grid_range_best"](spark, data).collect()}
+    assert best == {r["window_id"]: r["m"] for r in df.groupBy("window_id").agg(F.max("silhouette").alias("m")).collect()}
