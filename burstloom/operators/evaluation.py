@@ -39,27 +39,29 @@ def group_entropy(samples: Iterable[tuple[list[int], float]]) -> tuple[float, st
     return h, " ".join(trace)
 
 
-def entropy(samples: DataFrame, groups: str, labels: str) -> DataFrame:
+def entropy(samples: DataFrame, groups: str, labels: str, order: str | None = None) -> DataFrame:
     """(group, h, n, trace): the weighted entropy of each group of array column ``groups`` over the labels of array column ``labels``.
 
     Groups are resolved one by one over the counts of equal (labels, score) combinations, so a hot group comes in as a few counted rows.
+    Labels are inserted in the order of the column ``order``, or in that of their texts.
     """
-    per = samples.where((F.size(groups) > 0) & (F.size(labels) > 0)).select(F.explode(groups).alias("group"), F.col(labels).alias("labels"), (F.lit(1.0) / F.size(groups)).alias("score"))
-    counted = per.groupBy("group", "labels", "score").agg(F.count("*").alias("n"))
+    per = samples.where((F.size(groups) > 0) & (F.size(labels) > 0)).select(F.explode(groups).alias("group"), F.col(labels).alias("labels"), (F.lit(1.0) / F.size(groups)).alias("score"), (F.col(order) if order else F.lit(0)).alias("at"))
+    counted = per.groupBy("group", "labels", "score").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    kind = per.schema["group"].dataType.simpleString()
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(key=[",".join(map(str, x)) for x in pdf["labels"]]).sort_values(["key", "score"])
-        rows = [([int(v) for v in x], float(s)) for x, s, n in zip(pdf["labels"], pdf["score"], pdf["n"], strict=True) for _ in range(int(n))]
+        pdf = pdf.assign(key=[",".join(map(str, x)) for x in pdf["labels"]]).sort_values(["at", "key", "score"])
+        rows = [(list(x), float(s)) for x, s, n in zip(pdf["labels"], pdf["score"], pdf["n"], strict=True) for _ in range(int(n))]
         h, trace = group_entropy(rows)
         return pd.DataFrame({"group": [pdf["group"].iloc[0]], "h": [h], "n": [len(rows)], "trace": [trace]})
 
-    return counted.groupBy("group").applyInPandas(solve, "group int, h double, n long, trace string")
+    return counted.groupBy("group").applyInPandas(solve, f"group {kind}, h double, n long, trace string")
 
 
-def total_entropy(samples: DataFrame, groups: str, labels: str) -> DataFrame:
+def total_entropy(samples: DataFrame, groups: str, labels: str, order: str | None = None) -> DataFrame:
     """One row (entropy): the group entropies over the number of samples."""
     n = samples.where((F.size(groups) > 0) & (F.size(labels) > 0)).agg(F.count("*").alias("samples"))
-    h = entropy(samples, groups, labels).agg(F.sum("h").alias("h"))
+    h = entropy(samples, groups, labels, order).agg(F.sum("h").alias("h"))
     return h.join(F.broadcast(n)).select(F.coalesce(F.try_divide("h", "samples"), F.lit(0.0)).alias("entropy"))
 
 
@@ -77,3 +79,11 @@ def cluster_class_entropy(samples: DataFrame, cluster: str, klass: str) -> DataF
     both = a.join(F.broadcast(b))
     c, k = F.col("cluster_entropy"), F.col("class_entropy")
     return both.withColumn("f", F.coalesce(F.try_divide(2 * c * k, c + k), F.lit(0.0)))
+
+
+def multi_entropies(samples: DataFrame, clusters: str, classes: str, order: str | None = None) -> DataFrame:
+    """One row (cluster_entropy, class_entropy, f) as :func:`cluster_class_entropy`, over array columns of several labels."""
+    a = total_entropy(samples, clusters, classes, order).withColumnRenamed("entropy", "cluster_entropy")
+    b = total_entropy(samples, classes, clusters, order).withColumnRenamed("entropy", "class_entropy")
+    c, k = F.col("cluster_entropy"), F.col("class_entropy")
+    return a.join(F.broadcast(b)).withColumn("f", F.coalesce(F.try_divide(2 * c * k, c + k), F.lit(0.0)))

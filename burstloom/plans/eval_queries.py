@@ -60,6 +60,13 @@ def _labels(s, d):
     return packed_labels(g, "gold_id", ["gold_class", "gold_cluster"]).withColumn("value", value).join(g.select("gold_id", "sample"), "gold_id")
 
 
+def _packed(s, d):
+    """(gold_id, classes, clusters): all labels of the gold rows with both fields filled; a label repeated in a field counts once."""
+    of = lambda f: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("pos", "value")))), lambda x: x["value"]))
+    rows = _labels(s, d).groupBy("gold_id").agg(of("gold_class").alias("classes"), of("gold_cluster").alias("clusters"))
+    return materialise(rows.where("size(classes) > 0 and size(clusters) > 0"))
+
+
 def _sweep(s, d):
     """Every pair k in [50, 118), k_min in [1, k): silhouette of the events kept under 5 and entropies of their post labels and the gold classes."""
     n, e, segs = nodes(s, d), edges(s, d), segments(s, d)
@@ -79,10 +86,12 @@ def _r(df, **digits):
 
 QUERIES = {
     "entropy": lambda s, d: _r(evaluation.single_entropy(_single(s, d), "cluster", "klass"), h=6),
-    "entropy_verbose": lambda s, d: _r(evaluation.entropy(_gold(s, d), "clusters", "classes"), h=6),
+    "entropy_verbose": lambda s, d: _r(evaluation.entropy(_packed(s, d), "clusters", "classes", "gold_id"), h=6),
+    "entropy_verbose_classes": lambda s, d: _r(evaluation.entropy(_packed(s, d), "classes", "clusters", "gold_id"), h=6),
     "cluster_class_entropy": lambda s, d: _r(evaluation.cluster_class_entropy(_single(s, d), "cluster", "klass"), cluster_entropy=6, class_entropy=6).drop("f"),
     "entropy_f": lambda s, d: _r(evaluation.cluster_class_entropy(_single(s, d), "cluster", "klass"), f=6).select("f"),
-    "entropy_multi": lambda s, d: _r(evaluation.total_entropy(_gold(s, d), "clusters", "classes"), entropy=6),
+    "entropy_multi": lambda s, d: _r(evaluation.total_entropy(_packed(s, d), "clusters", "classes", "gold_id"), entropy=6),
+    "cluster_class_entropy_multi": lambda s, d: _r(evaluation.multi_entropies(_packed(s, d), "clusters", "classes", "gold_id"), cluster_entropy=6, class_entropy=6, f=6),
     "param_sweep": _sweep,
     "jaccard_edges": lambda s, d: _r(_edges(s, d), w=6),
     "entity_graph": _graph,
