@@ -112,6 +112,12 @@ def auto_grid(nodes: DataFrame) -> DataFrame:
     return ks.select("window_id", "k", F.explode(F.sequence(F.lit(1), F.least(F.col("k") + 1, F.col("low")) - 1, step("low", 20))).alias("k_min"))
 
 
+def auto_initial(nodes: DataFrame) -> DataFrame:
+    """(window_id, k, k_min) of every window before any candidate is tried: round(n/5) and round(n/10)."""
+    n = nodes.where("window_id is not null").groupBy("window_id").agg(F.count("*").alias("n"))
+    return n.select("window_id", F.bround(F.col("n") / 5, 0).cast("int").alias("k"), F.bround(F.col("n") / 10, 0).cast("int").alias("k_min"))
+
+
 def range_grid(nodes: DataFrame, lo: int, hi: int, step: int = 1) -> DataFrame:
     """(window_id, k, k_min) for every window: k in [lo, hi) and k_min in [1, k), every ``step``."""
     ks = nodes.select("window_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1), F.lit(step))))

@@ -91,7 +91,7 @@ QUERIES = {
     "noise_clusters": lambda s, d: cluster.noise_clusters(_jp(s, d)),
     "cluster_fixed": lambda s, d: cluster.cluster_fixed(nodes(s, d), edges(s, d), K, K_MIN),
     "silhouette": _silhouette,
-    "cluster_grid_auto": lambda s, d: cluster.best_of_grid(_grid(s, d, cluster.auto_grid)),
+    "cluster_grid_auto": lambda s, d: cluster.best_or_initial(_grid(s, d, cluster.auto_grid), cluster.auto_initial(nodes(s, d))),
     "cluster_grid_range": _range,
     "cluster_grid_range_best": lambda s, d: cluster.best_or_initial(_range(s, d), nodes(s, d).select("window_id", F.lit(10).alias("k"), F.lit(5).alias("k_min")).where("window_id is not null").distinct()),
     "segment_news": lambda s, d: _r6(events.segment_news(nodes(s, d), _kb(s, d)), "mu"),

@@ -72,3 +72,17 @@ def test_range_query_has_every_pair_and_the_best(spark, data):
     assert df.where("k = 15 and k_min = 6").count() == df.select("window_id").distinct().count()
     best = {r["window_id"]: r["silhouette"] for r in catalog.queries()["cluster_grid_range_best"](spark, data).collect()}
     assert best == {r["window_id"]: r["m"] for r in df.groupBy("window_id").agg(F.max("silhouette").alias("m")).collect()}
+
+
+def test_auto_query_has_every_window(spark):
+    nodes = spark.createDataFrame([(w, n) for w, many in ((1, 4), (2, 14), (3, 30)) for n in range(many)], "window_id int, node long")
+    edges = spark.createDataFrame([(3, a, b, 1.0 if a // 10 == b // 10 else 0.1) for a in range(30) for b in range(a + 1, 30)], "window_id int, a long, b long, w double")
+    best = cluster.best_or_initial(cluster.cluster_grid(nodes, edges, cluster.auto_grid(nodes)), cluster.auto_initial(nodes))
+    got = {r["window_id"]: (r["k"], r["k_min"], r["silhouette"]) for r in best.collect()}
+    assert got[1] == (1, 0, -1.0) and got[2] == (3, 1, -1.0)
+    assert set(got) == {1, 2, 3}
+
+
+def test_auto_query_on_tables(spark, data):
+    windows = {r[0] for r in catalog.queries()["knn"](spark, data).select("window_id").distinct().collect()}
+    assert windows <= {r["window_id"] for r in catalog.queries()["cluster_grid_auto"](spark, data).collect()}
