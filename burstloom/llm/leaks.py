@@ -16,6 +16,8 @@ count; a passage found several times in a document counts once; an empty table g
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +25,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstloom.llm.consistent import CYRILLIC, GREEK, INVISIBLE, ONE, PLAIN
+from burstloom.llm.consistent import CYRILLIC, GREEK, INVISIBLE, MANY, ONE, PLAIN
 
 #: words of a shingle
 SHINGLE = 3
-_NEEDS = r"[^\x00-\x7F\x{0621}-\x{0642}\x{0644}-\x{0648}پچژکگی\x{06F0}-\x{06F9}\x{200C}،؛؟]"
+_NEEDS = r"[^\x00-\x7F\x{0621}\x{0627}-\x{0642}\x{0644}-\x{0648}پچژکگی\x{06F0}-\x{06F9}\x{200C}،؛؟]"
+
+
+def _bases() -> dict[str, str]:
+    """Letters that decompose into one letter and marks, with that letter: they must equal the letter whose marks are stripped."""
+    out = {}
+    for c in map(chr, [*range(0xC0, 0xAC00), *range(0xF900, 0x10000)]):
+        parts = unicodedata.normalize("NFD", c)
+        if parts != c and all(unicodedata.category(x)[0] == "M" for x in parts[1:]):
+            out[c] = parts[0]
+    return out
 
 
 def bare_words(text: Column) -> Column:
     """The words of a text split by one blank, folded as far as the comparison needs."""
-    table = ONE | {c: r for c, r in PLAIN.items() if r != " "} | CYRILLIC | GREEK | {"ي": "ی", "ى": "ی", "ە": "ه", "ﻻ": "لا", "ﻼ": "لا"}
-    table = {a: b for a, b in table.items() if len(b) == 1}
-    folded = F.translate(F.regexp_replace(text, "[ﻻﻼ]", "لا"), "".join(table) + INVISIBLE, "".join(table.values()))
+    table = ONE | {c: r for c, r in PLAIN.items() if r != " "} | CYRILLIC | GREEK | {"ي": "ی", "ى": "ی", "ە": "ه"}
+    bases = _bases()
+    last = lambda c: (t := table.get(bases.get(c, c), bases.get(c, c))) and table.get(bases.get(t, t), bases.get(t, t))
+    table = {a: last(a) for a in table | bases if len(a) == 1}
+    many = {a: b for a, b in MANY.items() if len(a) == 1}
+    pairs = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+    spread = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(pairs[c], c)), "")
+    whole = F.when(text.rlike("[" + "".join(map(re.escape, many)) + "]"), spread).otherwise(text)
+    folded = F.translate(whole, "".join(table) + INVISIBLE, "".join(table.values()))
     bare = F.when(text.rlike(_NEEDS), folded).otherwise(text)
     plain = F.regexp_replace(F.lower(bare), r"[\p{M}\p{Cf}]+", "")
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{Nd}]+", " "))
