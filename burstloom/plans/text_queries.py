@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from burstloom.functions import text as T
-from burstloom.operators import tagging
+from burstloom.operators import events, tagging
+from burstloom.plans import event_queries
 from burstloom.session import shared_dir
 from burstloom.sources import io
 from burstloom.sources.readers import table
@@ -41,6 +42,21 @@ def _topics(spark, sf):
     return io.topics_sheet(n.where("rank <= 5").withColumnRenamed("seg_text", "topic"), [11, 12, 13, 14])
 
 
+def _all_topics(spark, sf):
+    """(window_id, rank, cluster, topic): the titles of the best realistic events of every window, one long table for the sheet's columns."""
+    top = events.realistic_topk(event_queries._news(spark, sf), 15.0, 5).select("window_id", "rank", "cluster")
+    return top.join(event_queries._titles(spark, sf).withColumnRenamed("title", "topic"), ["window_id", "cluster"]).select("window_id", "rank", "cluster", "topic")
+
+
+def _gold_windows(spark, sf):
+    """(window_id, gold_id, ordinal, sample): every gold row with the window of its slice."""
+    out = None
+    for w in io.GOLD_SLICES:
+        part = io.gold_window(table(spark, sf, "gldn_std"), w).select(F.lit(w).alias("window_id"), "gold_id", "ordinal", "sample")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _report(spark, sf):
     p = posts(spark, sf).groupBy("window_id").agg(F.count("*").alias("n"))
     path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
@@ -57,10 +73,12 @@ QUERIES = {
     "scan_npy": lambda s, d: posts(s, d).select("post_id", "text", F.size("types").alias("n_types"), "user_id", "window_id"),
     "scan_xls_gold": lambda s, d: io.gold_labels(table(s, d, "gldn_std")).select("gold_id", "sample", T.list_to_csv(F.col("classes")).alias("classes"), F.element_at("clusters", 1).alias("first_cluster")),
     "scan_xls_window": lambda s, d: io.gold_window(table(s, d, "gldn_std"), 15).select("gold_id", "ordinal", "sample"),
+    "scan_xls_windows": _gold_windows,
     "sink_checkpoint": lambda s, d: io.checkpoint_stage(segments(s, d)).select("post_id", "pos", "seg_text"),
     "sink_labels_xls": _labels_roundtrip,
     "sink_grid_xls": _grid_roundtrip,
     "sink_topics_xls": _topics,
+    "sink_topics_all": _all_topics,
     "sink_report_txt": _report,
     "slice_windows": lambda s, d: io.slice_windows(table(s, d, "alldata"), 12, 20).select("seq", "window_num", "loaded_at"),
     "normalize_text": lambda s, d: posts(s, d).select("post_id", T.normalize_text(F.col("text")).alias("text")),
