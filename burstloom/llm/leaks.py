@@ -16,7 +16,6 @@ count; a passage found several times in a document counts once; an empty table g
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -42,6 +41,17 @@ def _bases() -> dict[str, str]:
     return out
 
 
+def _ranges(chars: dict[str, str]) -> str:
+    """A short character class that holds ``chars``; beyond U+2100 gaps are filled."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and c - runs[-1][1] <= (256 if runs[-1][1] >= 0x2100 else 1):
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
 def bare_words(text: Column) -> Column:
     """The words of a text split by one blank, folded as far as the comparison needs."""
     table = ONE | {c: r for c, r in PLAIN.items() if r != " "} | CYRILLIC | GREEK | {"ي": "ی", "ى": "ی", "ە": "ه"}
@@ -51,7 +61,7 @@ def bare_words(text: Column) -> Column:
     many = {a: b for a, b in MANY.items() if len(a) == 1}
     pairs = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
     spread = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(pairs[c], c)), "")
-    whole = F.when(text.rlike("[" + "".join(map(re.escape, many)) + "]"), spread).otherwise(text)
+    whole = F.when(text.rlike(_ranges(many)), spread).otherwise(text)
     folded = F.translate(whole, "".join(table) + INVISIBLE, "".join(table.values()))
     bare = F.when(text.rlike(_NEEDS), folded).otherwise(text)
     plain = F.regexp_replace(F.lower(bare), r"[\p{M}\p{Cf}]+", "")
