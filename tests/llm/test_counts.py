@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burstloom.llm import components, distinctive, frequency, leaks, mixing, queries, reading
+from burstloom.llm.words import WordNumbers, bare_list
 from tests.oracle import assert_same, connection
 
 
@@ -144,3 +145,57 @@ def test_reading_levels(spark):
     assert got[200] is None and got[201] is None and got[202] is None and got[203] == 5
     none = reading.train(df, spark.createDataFrame([], "doc_id long, grade int"))
     assert {r["level"] for r in reading.reading_levels(df, none).collect()} == {None}
+
+
+def _graded_world(seed, documents=2500, off_by_one=0.15, names=0.3):
+    """(documents, true levels, grades): two scripts, shared words, words that grow with the level, names that occur once or in copies."""
+    rng = random.Random(seed)
+    hard = {"fa": [a + b for a in ("روش", "ذهن", "زبان", "نهاد", "عقل") for b in ("باوری", "محوری", "سنجی", "پذیری")], "en": [a + b for a in ("form", "norm", "struct", "graph") for b in ("alization", "ically", "ativity")]}
+    plain = {"fa": [f"{a}{b}" for a in "بپتجدر" for b in ("ام", "ور", "ین", "اد")], "en": [f"{a}{b}" for a in "bcdfgh" for b in ("at", "og", "un", "ed")]}
+    docs, true, grades = [], {}, []
+    for i in range(documents):
+        level, lang = rng.randint(1, 5), "en" if rng.random() < 0.25 else "fa"
+        share = (0, 0.02, 0.05, 0.1, 0.3)[level - 1] * rng.uniform(0.8, 1.2)
+        ws = [rng.choice(hard[lang]) if (x := rng.random()) < share else "n" + str(rng.randrange(10**6)) if x < share + names * 0.2 else rng.choice(plain[lang]) for _ in range(rng.randint(60, 200))]
+        copies = 4 if rng.random() < 0.05 else 1  # whole copies keep their names
+        for k in range(copies):
+            at = len(docs)
+            docs.append((at, " ".join(ws)))
+            true[at] = level
+            if rng.random() < 0.3:
+                g = min(5, max(1, level + rng.choice((-1, 1)))) if rng.random() < off_by_one else level
+                grades.append((at, g))
+    return docs, true, grades
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_top_level_precision_and_recall(spark, seed):
+    docs, true, grades = _graded_world(seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = reading.train(df, spark.createDataFrame(grades, "doc_id long, grade int"))
+    graded = {i for i, _ in grades}
+    got = {r["doc_id"]: r["level"] for r in reading.reading_levels(df, model).collect() if r["doc_id"] not in graded}
+    found, want = {i for i, g in got.items() if g == 5}, {i for i in got if true[i] == 5}
+    assert len(found & want) >= 0.95 * len(want) and len(found & want) >= 0.95 * len(found)
+    for level in range(1, 6):
+        of = [g for i, g in got.items() if true[i] == level]
+        assert sum(abs(g - level) <= 1 for g in of) >= 0.95 * len(of)
+        assert sum(g == level for g in of) >= 0.6 * len(of)
+
+
+def test_reading_sample_is_bounded(spark):
+    docs, _, grades = _graded_world(3, 200)
+    df, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(grades, "doc_id long, grade int")
+    assert len(grades) > 30 == reading.graded_sample(df, marks, "doc_id", "text", "grade", 30, 0).count()
+    small = reading.train(df, marks, max_graded=30)
+    assert small.grades and len(small.numbers) < len(reading.train(df, marks).numbers)
+
+
+def test_bare_words_of_forms():
+    assert bare_list("") == bare_list(None) == bare_list("!! ?") == []
+    assert bare_list("Ca\u0301fe\u200b\u00a0 ﬁne") == ["cafe", "fine"]
+    assert bare_list("می\u200cرود ﺩﺭ") == ["میرود", "در"]
+    calls = []
+    known = WordNumbers(lambda w: calls.append(w) or len(w), size=2)
+    assert known.of("aa b aa ccc,d") == [2, 1, 2, 3, 1] and known.of(None) == []
+    assert known.of("x" * 100) == [100] and len(known) <= 2
