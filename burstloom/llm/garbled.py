@@ -5,7 +5,7 @@ candidate chain (encode with the code page that was wrongly used, decode with th
 can have produced; a span's gain is the rise of its log-likelihood with one character of context on both sides. The
 likeliest chain of a span is accepted if its gain is over a margin that is validated on held-out clean records: those
 records as they are must stay under it, and the same records garbled by every chain must pass it. Accepted text is tried
-again, so that text garbled twice is restored in two steps. A record with replacement characters is affected, but lost.
+again until nothing is accepted, so that text garbled several times is restored step by step. A record with replacement characters is affected, but lost.
 
 Characters are classes of the model by rule (one for all blanks and one for all invisible characters, own classes for Latin, Arabic, Cyrillic and punctuation, one for each other
 block), so the model has the same bounded size over any collection.
@@ -24,8 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstloom.llm.consistent import TO_LATIN
@@ -38,26 +37,39 @@ CHAINS = tuple((p, "utf-8") for p in PAGES) + (("cp1252", "cp1256"), ("cp1252",
 #: one in so many clean records is held out to validate the margin
 HELD_OUT = 50
 BINS = 400
+#: margin where no clean or no garbled held-out record is there to validate one: about two characters' worth
+UNVALIDATED = 8.0
+#: suspicious records of one task
+ROWS_A_TASK = 5_000
 
-_SUSPICIOUS = (
-    r"[\x{FFFD}\x{0080}-\x{0084}\x{0086}-\x{009F}]"
-    r"|[\x{00C0}-\x{00FF}][\x{00C0}-\x{00FF}\x{02C6}\x{02DC}\x{00A1}\x{00AA}\x{00BA}\x{2018}-\x{201E}]"
-    r"|[\x{00C2}-\x{00F4}][\x{00A0}-\x{00BF}\x{0152}-\x{0192}\x{02C6}\x{02DC}\x{2013}-\x{203A}\x{20AC}\x{2122}]"
-    r"|[\x{0637}\x{0638}\x{0639}\x{063A}\x{0622}-\x{0649}][\x{00A1}-\x{00A9}\x{00AC}\x{00AE}-\x{00BA}\x{00BC}-\x{00BE}\x{0152}\x{0153}\x{0192}\x{02C6}\x{2018}-\x{2022}\x{2026}\x{2030}\x{2039}\x{203A}\x{20AC}\x{2122}\x{0679}\x{0688}\x{0691}\x{06BA}\x{06BE}]"
-    r"|[\x{00E2}\x{00EF}\x{00F0}\x{064B}-\x{0652}][\x{0080}-\x{00BF}\x{0178}\x{2018}-\x{203A}\x{20AC}\x{0637}\x{0638}\x{06BA}]"
-    r"|[\x{00FF}\x{0178}\x{2044}\x{20AC}\x{2039}\x{203A}\x{F8FF}\x{00AC}\x{221A}\x{00D4}\x{201A}][\x{00C0}-\x{00FF}\x{0131}\x{0152}-\x{0192}\x{02C6}-\x{02DD}\x{2013}-\x{203A}\x{2044}\x{20AC}\x{2122}\x{2126}\x{2202}-\x{2265}\x{25CA}\x{FB01}\x{FB02}\x{03A9}\x{03C0}\x{00A0}-\x{00BF}]"
-    r"|[\x{0400}-\x{042F}\x{0433}\x{0440}\x{0432}\x{045F}][\x{00A0}-\x{00BF}\x{0402}-\x{040F}\x{0452}-\x{045F}\x{0490}\x{0491}\x{2013}-\x{203A}\x{20AC}\x{2116}\x{2122}]"
-    r"|[\x{2500}-\x{25A0}]"
+
+
+def _pairs(page: str) -> str:
+    """The first two characters of any UTF-8 sequence that was read in a code page."""
+    read = lambda lo, hi: re.escape("".join(codecs.decode(bytes([b]), page, "ignore") or chr(b) for b in range(lo, hi)))
+    return f"[{read(0xC2, 0xF5)}][{read(0x80, 0xC0)}]"
+
+
+_SUSPICIOUS = re.compile(
+    _pairs("cp1250") + r"|[\uFFFD\u0080-\u0084\u0086-\u009F]"
+    r"|[\u00C0-\u00FF][\u00C0-\u00FF\u02C6\u02DC\u00A1\u00AA\u00BA\u2018-\u201E]"
+    r"|[\u00C2-\u00F4][\u00A0-\u00BF\u0152-\u0192\u02C6\u02DC\u2013-\u203A\u20AC\u2122]"
+    r"|[\u0637\u0638\u0639\u063A\u0622-\u0649][\u00A1-\u00A9\u00AC\u00AE-\u00BA\u00BC-\u00BE\u0152\u0153\u0192\u02C6\u2018-\u2022\u2026\u2030\u2039\u203A\u20AC\u2122\u0679\u0688\u0691\u06BA\u06BE]"
+    r"|[\u00E2\u00EF\u00F0\u064B-\u0652][\u0080-\u00BF\u0178\u2018-\u203A\u20AC\u0637\u0638\u06BA]"
+    r"|[\u00FF\u0178\u2044\u20AC\u2039\u203A\uF8FF\u00AC\u221A\u00D4\u201A][\u00C0-\u00FF\u0131\u0152-\u0192\u02C6-\u02DD\u2013-\u203A\u2044\u20AC\u2122\u2126\u2202-\u2265\u25CA\uFB01\uFB02\u03A9\u03C0\u00A0-\u00BF]"
+    r"|[\u0400-\u042F\u0433\u0440\u0432\u045F][\u00A0-\u00BF\u0402-\u040F\u0452-\u045F\u0490\u0491\u2013-\u203A\u20AC\u2116\u2122]"
+    r"|[\u2500-\u25A0]|[\u0622-\u0649][\u00E0-\u00FF]|[\u00E0-\u00FF][\u0621-\u06D2]|\u0622[\u00AB\u00BB\u061B]"
+    r"|\u0442[\u0410\u0411]|[\u0410-\u044F][\u00B0\u00B2\u00B7\u00F7\u221A\u2248\u2264\u2265]"
 )
 
 
 #: every suspicious sequence has one of these, and few clean texts have any
-_SIGN = r"[\x{0080}-\x{0084}\x{0086}-\x{009F}\x{00A1}-\x{00AC}\x{00AE}-\x{05FF}\x{0679}\x{0688}\x{0691}\x{06BA}\x{06BE}\x{2010}-\x{202E}\x{2030}-\x{205F}\x{2100}-\x{25FF}\x{20AC}\x{F8FF}\x{FB01}\x{FB02}\x{FFFD}]"
+_SIGN = re.compile(r"[\u061B\u0080-\u0084\u0086-\u009F\u00A1-\u00AC\u00AE-\u05FF\u0679\u0688\u0691\u06BA\u06BE\u2010-\u202E\u2030-\u205F\u2100-\u25FF\u20AC\uF8FF\uFB01\uFB02\uFFFD]")
 
 
-def suspicious(text: Column) -> Column:
+def suspicious(text: str) -> bool:
     """Whether a text has a sequence that some chain can have produced; a superset of the affected ones."""
-    return text.rlike(_SIGN) & text.rlike(_SUSPICIOUS)
+    return _SIGN.search(text) is not None and _SUSPICIOUS.search(text) is not None
 
 
 # ---- the model ----------------------------------------------------------------------------------------------
@@ -87,19 +99,21 @@ def class_numbers(text: str) -> np.ndarray:
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that are not clean as they are, and at the end the pair counts of all clean rows of the task (kind ``pairs``)."""
+    """Rows (id, at, t, held) that are not clean or held out, and at the end the pair counts of all other rows of the task (kind ``pairs``)."""
     total = np.zeros(_SIZE * _SIZE, np.int64)
     names = ["id", "at", "t", "kind", "i", "n"]
     kinds: list[pa.DataType] = []
     for b in batches:
         kinds = [c.type for c in b.columns[:3]]
-        clean = pc.equal(b.column(3), "clean")
-        c = class_numbers("\n".join(b.column(2).filter(clean).to_pylist()))
+        texts, held = b.column(2).to_pylist(), b.column(3).to_pylist()
+        bad = [suspicious(t) for t in texts]
+        c = class_numbers("\n".join(t for t, x, h in zip(texts, bad, held, strict=True) if not x and not h))
         if len(c) > 1:
             total += np.bincount(c[:-1].astype(np.int64) * _SIZE + c[1:], minlength=len(total))
-        rest = b.filter(pc.invert(clean))
+        at = [i for i, (x, h) in enumerate(zip(bad, held, strict=True)) if x or h]
+        rest = b.take(pa.array(at, pa.int64()))
         none = pa.nulls(len(rest), pa.int64())
-        yield pa.RecordBatch.from_arrays([*rest.columns, none, none], names=names)
+        yield pa.RecordBatch.from_arrays([*rest.columns[:3], pa.array(["bad" if bad[i] else "held" for i in at], pa.string()), none, none], names=names)
     at = np.flatnonzero(total)
     if kinds:
         yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), k) for k in kinds), pa.array(["pairs"] * len(at), pa.string()), pa.array(at), pa.array(total[at])], names=names)
@@ -219,10 +233,10 @@ def best_spans(model: np.ndarray, text: str) -> list[tuple[float, int, int, str]
     return taken
 
 
-def restore(model: np.ndarray, margin: float, text: str, depth: int = 3) -> tuple[bool, str]:
-    """(affected, text with every accepted span restored)."""
+def restore(model: np.ndarray, margin: float, text: str) -> tuple[bool, str]:
+    """(affected, text with every accepted span restored, again and again until none is accepted: every step raises the likelihood)."""
     affected = "�" in text
-    for _ in range(depth):
+    while True:
         accepted = sorted((a, b, new) for gain, a, b, new in best_spans(model, text) if gain > margin)
         if not accepted:
             break
@@ -269,7 +283,7 @@ def validate(held: DataFrame, column: str, model) -> float:
     for r in held.select(column).mapInArrow(gains, "k long, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect():
         hist[r["k"], r["i"]] = r["n"]
     if not hist[1].sum() or not hist[0].sum():
-        return 8.0
+        return UNVALIDATED
     clean = int(np.searchsorted(np.cumsum(hist[0]), hist[0].sum() * 0.9995)) + 1
     bad = int(np.searchsorted(np.cumsum(hist[1]), hist[1].sum() * 0.01))
     return float(clean + max(bad - clean, 0) / 6)
@@ -280,9 +294,8 @@ def garbled_rows(df: DataFrame, id_col: str, text_col: str, time_col: str | None
     time = F.col(time_col).cast("timestamp_ntz") if time_col else F.lit(None).cast("timestamp_ntz")
     texts = df.where(F.col(id_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col).alias("id"), time.alias("at"), F.col(text_col).alias("t"))
     held_out = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
-    kind = F.when(suspicious(F.col("t")), "bad").when(held_out, "held").otherwise("clean")
     # one pass over the texts: clean ones leave only their pair counts, the few others are kept
-    sifted = materialise(texts.withColumn("kind", kind).mapInArrow(_sift, texts.withColumns({"kind": F.lit(""), "i": F.lit(None).cast("long"), "n": F.lit(None).cast("long")}).schema))
+    sifted = materialise(texts.withColumn("held", held_out).mapInArrow(_sift, texts.withColumns({"kind": F.lit(""), "i": F.lit(None).cast("long"), "n": F.lit(None).cast("long")}).schema))
     sc = df.sparkSession.sparkContext
     shared = sc.broadcast(train(sifted.where("kind = 'pairs'").select("i", "n")))
     held = sifted.where("kind = 'held'").select("t")
@@ -302,7 +315,8 @@ def garbled_rows(df: DataFrame, id_col: str, text_col: str, time_col: str | None
 
     bad = sifted.where("kind = 'bad'").select("id", "at", "t")
     schema = bad.drop("t").withColumn("restored", F.lit(None).cast("string")).schema
-    found = bad.repartition(sc.defaultParallelism, "id").mapInArrow(judge, schema)
+    tasks = max(sc.defaultParallelism, bad.count() // ROWS_A_TASK)
+    found = bad.repartition(tasks, "id", "at").mapInArrow(judge, schema)
     if time_col is None:
         return found.groupBy(F.col("id").alias(id_col)).agg(F.min("restored").alias("restored"))
     # a later delivery counts only if it is the earliest one of its post

@@ -1,10 +1,14 @@
 """Problem 3: near-duplicate records with small edits.
 
 MinHash banding over word sets. Equal word sets are one class from the start, so exact copies never meet each other. Every
-class has ``bands`` x ``rows`` minimum hashes; classes that agree on a whole band meet in a shuffle on the band's hash, which
-carries the class, its size and one bit of each of 56 minima. Pairs whose sizes or bits cannot belong to the wanted
-similarity are dropped where they meet; the others are verified on the full word sets. The number of bands follows from the
-rows of a band and the target recall at the threshold itself; recall above the threshold is higher.
+class has ``bands`` x ``rows`` minimum hashes; classes that agree on a whole band meet in one shuffle on the band's hash, which
+carries the class, its size and a bitmap of its words. Size and bitmap bound the words that two classes can have in common from
+above, so a pair is dropped where it meets only if it cannot be similar enough; all others are verified on the full sets of 64-bit word
+hashes. The number of bands follows from the rows of a band and the target recall at the threshold itself; recall above the
+threshold is higher.
+
+Band hashes that very many classes share are found on one class in :data:`SAMPLED` and split: their classes are dealt into blocks, and every
+pair of blocks meets by itself. The sample decides only where pairs meet and never which.
 
 Defined results: null and empty texts are left out; a text without any word is like equal texts only; a post delivered more
 than once counts once, by its earliest delivery; rows without an id are ignored; an empty table gives no rows; extra
@@ -18,17 +22,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstloom.llm.components import connected_components
-from burstloom.llm.consistent import first_delivery, with_consistent_text
-from burstloom.llm.words import words
+from burstloom.llm.consistent import connect, consistent_array, first_delivery
+from burstloom.llm.words import WORD
 from burstloom.session import materialise
 
-SKETCH_BITS = 56
+#: bits of the word bitmap; the other 8 of a mark hold the size
+BITMAP_BITS = 56
+LARGE = 255
 #: classes that a task remembers to have banded
 SEEN = 500_000
+#: one class in so many is looked at for band hashes that many share
+SAMPLED = 64
+#: classes of one band hash that meet in one place
+BLOCK = 20_000
+#: band hashes that are split at most (the most frequent ones); a bound on what tasks are sent
+MAX_HOT = 10_000
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -36,38 +50,101 @@ def bands_for(threshold: float, rows: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-def sketch_limit(threshold: float, sigmas: float = 2.6) -> int:
-    """Differing bits that a pair of at least ``threshold`` exceeds only with small probability."""
-    p = (1 - threshold) / 2
-    return math.ceil(SKETCH_BITS * p + sigmas * math.sqrt(SKETCH_BITS * p * (1 - p)))
+class _WordHashes(dict):
+    """Blank-separated piece of a consistent text -> hashes of its words; a bounded memory."""
+
+    def __init__(self, size: int = 300_000, longest: int = 60):
+        super().__init__()
+        self.size, self.longest, self.word = size, longest, regex.compile(WORD.replace("{200C}", "").replace(r"\x", "‌"))
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        out = tuple(xxhash.xxh64_intdigest(w) for w in self.word.findall(piece.lower()))
+        if len(piece) <= self.longest:
+            if len(self) >= self.size:
+                self.clear()
+            self[piece] = out
+        return out
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes spread once more, so that their sum stands for their set."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def word_sets(df: DataFrame, id_col: str, text_col: str, time_col: str | None) -> DataFrame:
-    """(id, time, cls, size, ws): the sorted distinct word hashes of every row with text, and the class of equal sets.
+    """(id, time, cls, ws): the distinct word hashes of every row with text, and the class of equal sets.
 
     A text without words is a set of its own: the hash of the whole text.
     """
-    cols = [id_col, F.col(text_col).alias("_text")] + ([time_col] if time_col else [])
-    marked = with_consistent_text(df.where(F.col(id_col).isNotNull()).select(*cols), "_text").where("consistent_text <> ''")
-    found = words(F.col("consistent_text"))
-    hashed = F.array_sort(F.array_distinct(F.transform(found, lambda w: F.hash(w))))
-    sets = marked.withColumn("ws", hashed)
-    alone = F.array(F.hash(F.lit("\x00"), "consistent_text"))
-    none = F.size("ws") == 0
-    return sets.select(
-        id_col,
-        *([time_col] if time_col else []),
-        F.when(none, F.xxhash64(F.lit(-1), "consistent_text")).otherwise(F.xxhash64(F.lit(1), "ws")).alias("cls"),
-        F.when(none, alone).otherwise(F.col("ws")).alias("ws"),
-    )
-
-
-def _banding(rows: int, bands: int, seed: int):
-    """A function from batches (cls, ws) to band rows (key, cls, mark); mark holds 56 bits and the size up to 255."""
+    kept = df.where(F.col(id_col).isNotNull() & (F.col(text_col) != "")).select(F.col(id_col), *([F.col(time_col)] if time_col else []), F.col(text_col).alias("_text"))
+    schema = kept.drop("_text").withColumns({"cls": F.lit(None).cast("long"), "ws": F.lit(None).cast("array<long>")}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        con, known = connect(), _WordHashes()
+        for b in batches:
+            sets, rows = [], []
+            for i, t in enumerate(consistent_array(con, b.column(b.num_columns - 1)).to_pylist()):
+                if t:
+                    found = {h for piece in t.split(" ") for h in known[piece]}
+                    sets.append(found or {xxhash.xxh64_intdigest("\x00" + t)})
+                    rows.append(i)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            flat = np.fromiter((h for s in sets for h in s), np.uint64, int(sizes.sum()))
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            cls = np.add.reduceat(_mixed(flat), offsets[:-1]) if len(sets) else np.empty(0, np.uint64)
+            ws = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
+            ids = b.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*ids.columns[:-1], pa.array(cls.view(np.int64)), ws], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
+def marks(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Size up to 255 in the low byte, above it one bit for every word (words share bits)."""
+    bits = np.uint64(1) << (np.uint64(8) + (_mixed(flat) % np.uint64(BITMAP_BITS)))
+    return np.bitwise_or.reduceat(bits, starts) | np.minimum(sizes, LARGE).astype(np.uint64)
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets with these marks can have ``threshold`` in common.
+
+    A bit that only one of two bitmaps has stands for at least one word that the other set has not.
+    """
+    low = np.uint64(LARGE)
+    sx, sy = (x & low).astype(np.int64), (y & low).astype(np.int64)
+    bx, by = x >> np.uint64(8), y >> np.uint64(8)
+    common = np.minimum(sx - np.bitwise_count(bx & ~by), sy - np.bitwise_count(by & ~bx))
+    return (common >= threshold * (sx + sy - common)) | (sx == LARGE) | (sy == LARGE)
+
+
+def _banding(rows: int, bands: int, seed: int, hot: dict[int, int]):
+    """A function from batches (cls, ws) to band rows (key, cls, mark, side).
+
+    hot: band hash -> blocks. A class of such a hash goes to the meetings of its block with every other one; side tells the two
+    blocks of a meeting apart and is 0 where all classes meet each other.
+    """
     rng = np.random.default_rng(seed)
-    n = max(rows * bands, SKETCH_BITS)
+    n = rows * bands
     mult = rng.integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 2**63, n, dtype=np.uint64)
+    hot_keys = np.array(sorted(hot), np.int64)
+    hot_blocks = np.array([hot[k] for k in sorted(hot)], np.int64)
+
+    def deal(key: np.ndarray, cls: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, ...]:
+        at = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
+        split = hot_keys[at] == key
+        plain = ~split
+        out = [[key[plain], cls[plain], mark[plain], np.zeros(plain.sum(), np.int8)]]
+        for i in np.flatnonzero(split):
+            blocks = int(hot_blocks[at[i]])
+            own, other = int(cls[i]) % blocks, np.arange(blocks)
+            meeting = np.minimum(own, other) * blocks + np.maximum(own, other)
+            keys = _mixed(key[i].view(np.uint64) ^ _mixed((meeting + 1).astype(np.uint64))).view(np.int64)
+            side = np.where(other == own, 0, np.where(own < other, 1, 2)).astype(np.int8)
+            out.append([keys, np.full(blocks, cls[i]), np.full(blocks, mark[i]), side])
+        return tuple(np.concatenate([o[c] for o in out]) for c in range(4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -81,39 +158,79 @@ def _banding(rows: int, bands: int, seed: int):
             if len(fresh) < len(b):
                 b = b.take(pa.array(fresh, pa.int64()))
             lists = b.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64)
-            flat ^= flat >> np.uint64(15)
-            flat *= np.uint64(0x9E3779B97F4A7C15)
-            flat ^= flat >> np.uint64(29)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             offsets = lists.offsets.to_numpy()
             starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
-            minima = np.empty((n, len(b)), np.uint64)
-            for i in range(n):
-                minima[i] = np.minimum.reduceat((flat * mult[i] + add[i]) >> np.uint64(8), starts)
-            mark = np.minimum(sizes, 255).astype(np.uint64)
-            for i in range(SKETCH_BITS):
-                mark |= (minima[i] & np.uint64(1)) << np.uint64(8 + i)
-            cls = b.column(0)
+            cls, mark = b.column(0).to_numpy(), marks(flat, starts, sizes).view(np.int64)
             for k in range(bands):
                 key = np.full(len(b), k, np.uint64)
-                for i in range(rows):
-                    key = (key ^ minima[k * rows + i]) * np.uint64(0xFF51AFD7ED558CCD)
+                for i in range(k * rows, (k + 1) * rows):
+                    key = (key ^ np.minimum.reduceat((flat * mult[i] + add[i]) >> np.uint64(8), starts)) * np.uint64(0xFF51AFD7ED558CCD)
                     key ^= key >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), cls, pa.array(mark.view(np.int64))], names=["key", "cls", "mark"])
+                key = key.view(np.int64)
+                out = deal(key, cls, mark) if hot else (key, cls, mark, np.zeros(len(b), np.int8))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["key", "cls", "mark", "side"])
+
+    return run
+
+
+def _meeting(threshold: float):
+    """A function from band rows, sorted by key, to the pairs a < b that may be similar."""
+
+    def pairs(key: np.ndarray, cls: np.ndarray, mark: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, step = np.arange(len(key)), 0
+        while True:
+            step += 1
+            at = at[at + step < len(key)]
+            at = at[key[at] == key[at + step]]
+            if not len(at):
+                return
+            x, y = at, at + step
+            good = (cls[x] != cls[y]) & ((side[x] != side[y]) | (side[x] == 0)) & may_be_similar(mark[x], mark[y], threshold)
+            a, b = cls[x[good]], cls[y[good]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy())
+            # the last key may go on in the next batch
+            last = int(np.searchsorted(new[0], new[0][-1], "left"))
+            if last:
+                held.append(tuple(x[:last] for x in new))
+                yield from pairs(*(np.concatenate([h[c] for h in held]) for c in range(4)))
+                held = []
+            elif held and held[0][0][0] != new[0][0]:
+                yield from pairs(*(np.concatenate([h[c] for h in held]) for c in range(4)))
+                held = []
+            held.append(tuple(x[last:] for x in new))
+        if held:
+            yield from pairs(*(np.concatenate([h[c] for h in held]) for c in range(4)))
 
     return run
 
 
-def similar_classes(sets: DataFrame, threshold: float, rows: int, recall: float, seed: int = 7) -> DataFrame:
+BAND_ROW = "key long, cls long, mark long, side byte"
+
+
+def hot_keys(sets: DataFrame, rows: int, bands: int, seed: int, block: int, sampled: int) -> dict[int, int]:
+    """Band hash -> number of blocks for those that more than about ``block`` classes share; at most MAX_HOT of them."""
+    some = sets.where(F.pmod("cls", F.lit(sampled)) == 0).select("cls", "ws").mapInArrow(_banding(rows, bands, seed, {}), BAND_ROW)
+    counted = some.groupBy("key").agg(F.approx_count_distinct("cls").alias("n")).where(F.col("n") > max(2.0, block / sampled))
+    found = counted.orderBy(F.desc("n"), "key").limit(MAX_HOT).collect()
+    return {r["key"]: min(256, math.ceil(r["n"] * sampled / block) + 1) for r in found}
+
+
+def similar_classes(sets: DataFrame, threshold: float, rows: int, recall: float, seed: int = 7, block: int = BLOCK, sampled: int = SAMPLED) -> DataFrame:
     """(a, b): pairs a < b of classes (cls, ws) whose word sets have at least ``threshold`` in common."""
     bands = bands_for(threshold, rows, recall)
-    banded = sets.select("cls", "ws").mapInArrow(_banding(rows, bands, seed), "key long, cls long, mark long").repartition("key").dropDuplicates(["key", "cls"])
-    x, y = banded.alias("x"), banded.alias("y")
-    size = lambda s: F.col(f"{s}.mark").bitwiseAND(F.lit(255))
-    near = F.bit_count(F.shiftrightunsigned(F.col("x.mark").bitwiseXOR(F.col("y.mark")), 8)) <= sketch_limit(threshold)
-    ratio = (F.least(size("x"), size("y")) >= threshold * F.greatest(size("x"), size("y"))) | (F.greatest(size("x"), size("y")) == 255)
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & ratio & near)
-    pairs = materialise(met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
+    hot = hot_keys(sets, rows, bands, seed, block, sampled)
+    banded = sets.select("cls", "ws").mapInArrow(_banding(rows, bands, seed, hot), BAND_ROW)
+    met = banded.repartition("key").sortWithinPartitions("key").mapInArrow(_meeting(threshold), "a long, b long")
+    pairs = materialise(met.distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     held = sets.select("cls", "ws").join(needed, "cls", "left_semi").dropDuplicates(["cls"])
     first = pairs.join(held.select(F.col("cls").alias("a"), F.col("ws").alias("wa")), "a")
@@ -122,19 +239,21 @@ def similar_classes(sets: DataFrame, threshold: float, rows: int, recall: float,
     return both.where(common >= F.lit(threshold) * (F.size("wa") + F.size("wb") - common)).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, time_col: str | None = None, leave_out: DataFrame | None = None, threshold: float = 0.7, rows: int = 5, recall: float = 0.95):
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, time_col: str | None = None, leave_out: DataFrame | None = None, threshold: float = 0.7, rows: int = 5, recall: float = 0.95, block: int = BLOCK, sampled: int = SAMPLED):
     """(members, links): every post with its class of equal word sets (id, cls), and the similar classes (a, b).
 
-    leave_out: posts (by id) that take no part.
+    leave_out: posts (by id) that take no part. Links are between classes that have members.
     """
     sets = materialise(word_sets(df, id_col, text_col, time_col))
     members = first_delivery(sets, id_col, ["cls"], time_col)
     if leave_out is not None:
         members = members.join(leave_out.select(id_col), id_col, "left_anti")
-        kept = sets.join(leave_out.select(id_col), id_col, "left_anti")
-    else:
-        kept = sets
-    return materialise(members), materialise(similar_classes(kept, threshold, rows, recall))
+    members = materialise(members)
+    links = similar_classes(sets, threshold, rows, recall, block=block, sampled=sampled)
+    there = members.select("cls").distinct()
+    for end in ("a", "b"):
+        links = links.join(there.withColumnRenamed("cls", end), end, "left_semi")
+    return members, materialise(links.select("a", "b"))
 
 
 def all_pairs(members: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
