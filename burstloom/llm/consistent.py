@@ -13,6 +13,7 @@ smallest text); other columns, whatever their names, are kept by :func:`with_con
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -81,25 +82,39 @@ _ARABIC = r"[\x{0620}-\x{064A}\x{066E}-\x{06D3}\x{06D5}\x{06FA}-\x{06FF}]"
 _JOINS_ON = rf"[\x{{0620}}-\x{{065F}}\x{{066E}}-\x{{06D3}}]"
 
 
+ZW = "\u200c"
+
+
+@functools.cache
+def _unsettled() -> str:
+    """The SQL that picks the rows of ``batch`` (k, t) whose text may not be in its consistent form."""
+    zw = ZW
+    settled = r"\x{21}-\x{7E}\x{200C} ،؛؟«»…\x{0621}-\x{0642}\x{0644}-\x{0648}پچژکگی\x{06F0}-\x{06F9}\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}"
+    misplaced = rf"(?:^|[^\x{{0620}}-\x{{065F}}\x{{0670}}\x{{066E}}-\x{{06D3}}]|[{RIGHT_JOINING}]){zw}|{zw}(?:$|[^\x{{0620}}-\x{{064A}}\x{{066E}}-\x{{06D5}}])"
+    return f"SELECT k, t FROM batch WHERE regexp_matches(t, '[^{settled}]|  |^ | $|{misplaced}')"
+
+
 @functools.lru_cache(maxsize=256)
-def _statement(plain: str, invisible: str, source: str = "batch") -> str:
-    """The SQL over a table (k, t) that gives (k, u) for the texts that may change.
+def _statement(present: str) -> str:
+    """The SQL over the table ``rough`` (k, t) that gives (k, u).
 
-    plain, invisible: the characters of :data:`PLAIN` and :data:`INVISIBLE` that occur in the batch, as ``translate``
+    present: the characters of :data:`PLAIN`, :data:`INVISIBLE` and :data:`MANY` that occur in the batch, as ``translate``
     builds its table anew for every row.
     """
-    zw = "\u200c"
-    settled = r"\x{21}-\x{7E}\x{200C} ،؛؟«»…\x{0621}-\x{0642}\x{0644}-\x{0648}پچژکگی\x{06F0}-\x{06F9}\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}"
-    misplaced = rf"(?:^|[^\x{{0620}}-\x{{065F}}\x{{0670}}\x{{066E}}-\x{{06D3}}]|[{RIGHT_JOINING}]){zw}|{zw}(?:$|[^\x{{0620}}-\x{{064A}}\x{{066E}}-\x{{06D5}}])"
-    steps = [f"s0 AS (SELECT k, t FROM {source} WHERE regexp_matches(t, '[^{settled}]|  |^ | $|{misplaced}'))"]
+    zw = ZW
+    plain, invisible, several = ("".join(c for c in present if c in x) for x in (PLAIN, INVISIBLE, MANY))
+    steps = ["s0 AS (SELECT k, t FROM rough)"]
 
     def step(expression: str) -> None:
         prev = f"s{len(steps) - 1}"
         steps.append(f"s{len(steps)} AS (SELECT k, {expression} AS t FROM {prev})")
 
-    many = "MAP {" + ", ".join(f"{_q(a)}: {_q(b)}" for a, b in MANY.items()) + "}"
     has_many = r"[\x{FB00}-\x{FB06}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFC}\x{FF01}-\x{FFEE}]"
-    step(rf"CASE WHEN regexp_matches(t, '{has_many}') THEN array_to_string(list_transform(string_split(t, ''), lambda c: coalesce(({many})[c], c)), '') ELSE t END")
+    spread = "t"
+    for c in several:
+        spread = f"replace({spread}, {_q(c)}, {_q(MANY[c])})"
+    if several:
+        step(f"CASE WHEN regexp_matches(t, '[{several}]') THEN {spread} ELSE t END")
     step(rf"CASE WHEN regexp_matches(t, '{has_many}') THEN translate(t, {_q(''.join(ONE))}, {_q(''.join(ONE.values()))}) ELSE t END")
     # one character for one, and invisible characters out
     if plain or invisible:
@@ -129,7 +144,7 @@ def _statement(plain: str, invisible: str, source: str = "batch") -> str:
     return "WITH " + ", ".join(steps) + f" SELECT k, t AS u FROM s{len(steps) - 1}"
 
 
-_PLAIN, _INVISIBLE = frozenset(PLAIN), frozenset(INVISIBLE)
+_PRESENT = re.compile("[" + re.escape("".join([*PLAIN, *INVISIBLE, *MANY])) + "]")
 
 
 def connect():
@@ -144,11 +159,15 @@ def connect():
 def consistent_array(con, texts: pa.Array) -> pa.Array:
     """The consistent form of every text of one Arrow array, in order."""
     batch = pa.table({"k": pa.array(range(len(texts)), pa.int64()), "t": texts.cast(pa.string())})
-    there = set("".join(x for x in texts.to_pylist() if x))
-    statement = _statement("".join(sorted(there & _PLAIN)), "".join(sorted(there & _INVISIBLE)))
     con.register("batch", batch)
-    out = con.sql(statement).to_arrow_table().sort_by("k")
+    rough = con.sql(_unsettled()).to_arrow_table()
     con.unregister("batch")
+    if not len(rough):
+        return batch.column("t").combine_chunks()
+    present = set(_PRESENT.findall("".join(rough.column("t").to_pylist())))
+    con.register("rough", rough)
+    out = con.sql(_statement("".join(sorted(present)))).to_arrow_table().sort_by("k")
+    con.unregister("rough")
     changed = np.zeros(len(texts), bool)
     changed[out.column("k").to_numpy()] = True
     return pc.replace_with_mask(batch.column("t").combine_chunks(), pa.array(changed), out.column("u").combine_chunks().cast(pa.string()))

@@ -87,7 +87,7 @@ def word_sets(df: DataFrame, id_col: str, text_col: str, time_col: str | None) -
             sets, rows = [], []
             for i, t in enumerate(consistent_array(con, b.column(b.num_columns - 1)).to_pylist()):
                 if t:
-                    found = {h for piece in t.split(" ") for h in known[piece]}
+                    found = set().union(*map(known.__getitem__, t.split(" ")))
                     sets.append(found or {xxhash.xxh64_intdigest("\x00" + t)})
                     rows.append(i)
             sizes = np.array([len(s) for s in sets], np.int64)

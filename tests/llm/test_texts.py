@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burstloom.llm import consistent, garbled, neardup
+from burstloom.session import materialise
 
 ZW = "‌"
 SAME = [
@@ -81,6 +82,73 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(groups) == len([t for _, t in rows if t])
 
 
+def _edited(seed, posts=700):
+    """Posts of 12 to 40 words with 1 to 7 words changed, so that similarities lie on both sides of 0.7."""
+    rng = random.Random(seed)
+    rows = []
+    while len(rows) < posts:
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(12, 40))]
+        for _ in range(rng.randrange(1, 5)):
+            new = words[:]
+            for at in rng.sample(range(len(new)), rng.randrange(0, 7)):
+                new[at] = f"x{rng.randrange(9999)}"
+            rng.shuffle(new)
+            rows.append((len(rows), " ".join(new)))
+    return rows
+
+
+def _similar(rows, threshold=0.7):
+    sets = [(i, set(t.split())) for i, t in rows]
+    at = {}
+    for i, ws in sets:
+        for w in ws:
+            at.setdefault(w, []).append(i)
+    by = dict(sets)
+    met = {(min(p), max(p)) for held in at.values() for p in itertools.combinations(held, 2)}
+    return {(i, j): s for i, j in met if (s := len(by[i] & by[j]) / len(by[i] | by[j])) >= threshold}
+
+
+def test_recall_of_the_production_setting(spark):
+    rows = _edited(11)
+    want = _similar(rows)
+    members, links = neardup.near_duplicates(_posts(spark, rows), "seq", "posts_windowing", "loaded_at")
+    got = set(map(tuple, neardup.all_pairs(members, links, "seq").collect()))
+    assert got <= set(want)
+    assert len(got) >= 0.97 * len(want)
+    near = {p for p, s in want.items() if s < 0.75}
+    assert len(near) > 50 and len(got & near) >= 0.9 * len(near)
+
+
+def test_split_band_hashes_give_the_same_pairs(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join([w for w in base if rng.random() < 0.97] + [f"y{rng.randrange(40)}"])) for i in range(150)] + [(1000 + i, t) for i, t in _edited(12, 60)]
+    df = _posts(spark, rows)
+    pairs = []
+    for block, sampled in ((20_000, 64), (10, 1)):
+        sets = materialise(neardup.word_sets(df, "seq", "posts_windowing", "loaded_at"))
+        hot = neardup.hot_keys(sets, 5, 17, 7, block, sampled)
+        assert bool(hot) == (block == 10)
+        pairs.append(sorted(map(tuple, neardup.similar_classes(sets, 0.7, 5, 0.95, block=block, sampled=sampled).collect())))
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 1000
+
+
+def test_bitmaps_lose_no_similar_pair():
+    rng = np.random.default_rng(3)
+    for size in (3, 20, 60, 200, 300):
+        for _ in range(40):
+            a = rng.integers(0, 2**63, size, dtype=np.uint64)
+            changed = int(rng.integers(0, max(1, int(size * 0.35)) + 1))
+            b = np.concatenate([a[changed:], rng.integers(0, 2**63, changed, dtype=np.uint64)])
+            x, y = (neardup.marks(s, np.array([0]), np.array([len(s)])) for s in (a, b))
+            common = len(np.intersect1d(a, b))
+            for threshold in (0.5, 0.7, 0.9):
+                if common >= threshold * (2 * size - common):
+                    assert neardup.may_be_similar(x, y, threshold).all()
+    far = [neardup.marks(rng.integers(0, 2**63, 25, dtype=np.uint64), np.array([0]), np.array([25])) for _ in range(2)]
+    assert not neardup.may_be_similar(*far, 0.7).any()
+
+
 def test_near_duplicates_leave_out_and_empty(spark):
     df = _posts(spark, [(1, "a b c"), (2, "a b c"), (3, "c b a")])
     out = df.where("seq = 2").select("seq")
@@ -106,6 +174,26 @@ def test_garbling_round_trip(chain):
     assert "".join(found).replace(" ", "") == text.replace(" ", "")
 
 
+@pytest.mark.parametrize("chain", garbled.CHAINS)
+def test_suspicious_is_a_superset(chain):
+    words = "سلام رسید این هم باید دید مردم شهر گفتگو پنجره چای ژاله آب مسئله میشود café müller straße Ñandú naïve “quoted” Россия съезд ёлка".split()
+    for w in words:
+        bad = garbled.garble(w, chain)
+        assert bad is None or bad == w or garbled.suspicious(f"the {bad} text")
+    assert not garbled.suspicious("مردم شهر بزرگ، امروز در بازار «کتاب» تازه خریدند؛ و 12 نفر") or chain[0] == "cp1256"
+
+
+def test_text_garbled_four_times_is_restored():
+    clean = "مردم شهر بزرگ امروز در بازار کتاب تازه خریدند و به خانه رفتند"
+    c = garbled.class_numbers("\n".join([clean] * 50))
+    counts = np.bincount(c[:-1].astype(np.int64) * garbled._SIZE + c[1:], minlength=garbled._SIZE**2).reshape(garbled._SIZE, -1) + 1e-3
+    model = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+    bad = "بازار"
+    for _ in range(4):
+        bad = garbled.garble(bad, ("cp1252", "utf-8"))
+    assert "�" not in bad and garbled.restore(model, 4.0, f"مردم {bad} شهر") == (True, "مردم بازار شهر")
+
+
 def test_garbled_posts(spark):
     clean = "مردم شهر بزرگ امروز در بازار کتاب تازه خریدند و به خانه رفتند"
     words = clean.split()
