@@ -40,9 +40,9 @@ def test_sweep_equals_the_single_steps(spark):
     for k, k_min in ((3, 1), (4, 1), (5, 2)):
         c = cluster.cluster_fixed(nodes, edges, k, k_min).join(nodes, ["window_id", "node"])
         kept = events.realistic_events(events.event_news(c, edges, mu), 5.0).select("window_id", "cluster")
-        c = c.join(kept, ["window_id", "cluster"]).localCheckpoint()
+        c = c.join(kept, ["window_id", "cluster"]).cache()
         ids = events.post_event_ids(events.related_posts(c, segs), events.event_order(c))
-        samples = gold.join(ids, ["window_id", "post_id"], "left").withColumn("events", F.coalesce("events", F.array(F.lit(0)))).localCheckpoint()
+        samples = gold.join(ids, ["window_id", "post_id"], "left").withColumn("events", F.coalesce("events", F.array(F.lit(0)))).cache()
         for w in (1, 2):
             r, own = got[w, k, k_min], c.where(F.col("window_id") == w)
             labels = [x["cluster"] for x in own.collect()]
@@ -61,13 +61,13 @@ def test_sweep_equals_the_single_steps(spark):
 
 
 def test_sweep_query_has_every_pair(spark, data):
-    df = catalog.queries()["param_sweep"](spark, data).localCheckpoint()
+    df = catalog.queries()["param_sweep"](spark, data).cache()
     assert {"silhouette", "class_entropy", "cluster_entropy", "f"} <= set(df.columns)
     assert {r["n"] for r in df.groupBy("window_id").agg(F.countDistinct("k", "k_min").alias("n")).collect()} == {5610}
 
 
 def test_range_query_has_every_pair_and_the_best(spark, data):
-    df = catalog.queries()["cluster_grid_range"](spark, data).localCheckpoint()
+    df = catalog.queries()["cluster_grid_range"](spark, data).cache()
     assert {r["n"] for r in df.groupBy("window_id").agg(F.countDistinct("k", "k_min").alias("n")).collect()} == {1170}
     assert df.where("k = 15 and k_min = 6").count() == df.select("window_id").distinct().count()
     best = {r["window_id"]: r["silhouette"] for r in catalog.queries()["cluster_grid_range_best"](spark, data).collect()}
