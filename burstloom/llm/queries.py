@@ -70,18 +70,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_counts(spark, sf_dir).where("mark is not null").select("current_segment", "mark")
 
 
-def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score of every segment in every window, with the counts it rests on."""
+def _window_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = table(spark, sf_dir, "alldata").select("seq", "window_num")
     rows = table(spark, sf_dir, "postsegments").select("seq", "pos", "current_segment")
-    counts = materialise(distinctive.record_terms(posts, rows, "seq", "window_num", "pos", "current_segment"))
-    scored = distinctive.distinctiveness(counts).withColumn("score", F.round("score", 8))
+    return materialise(distinctive.record_terms(posts, rows, "seq", "window_num", "pos", "current_segment"))
+
+
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every segment of at least three posts in every window, with the counts it rests on."""
+    scored = distinctive.distinctiveness(_window_terms(spark, sf_dir)).withColumn("score", F.round("score", 8))
     return scored.withColumnsRenamed({"record": "window_num", "term": "current_segment"})
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments that stand for one window."""
-    return distinctive.standing_terms(p7_scores(spark, sf_dir)).select("window_num", "current_segment")
+    return distinctive.standing_terms(_window_terms(spark, sf_dir)).select(F.col("record").alias("window_num"), F.col("term").alias("current_segment"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +149,7 @@ d AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS n
 SELECT node AS node_id, min(label) AS group_id FROM r GROUP BY node""",
         "p5_counts": _P5 + " SELECT current_segment, occurrences, posts, mark FROM m",
         "p5_found": _P5 + " SELECT current_segment, mark FROM m WHERE mark IS NOT NULL",
-        "p7_scores": _P7 + " SELECT window_num, current_segment, occurrences, posts, term_posts, round(pr * ln(pr / pa), 8) AS score FROM y",
+        "p7_scores": _P7 + " SELECT window_num, current_segment, occurrences, posts, term_posts, round(pr * ln(pr / pa), 8) AS score FROM y WHERE term_posts >= 3",
         "p9_words": """WITH w AS (SELECT source, sum(coalesce(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')), 0)) AS n FROM documents GROUP BY source), t AS (SELECT sum(n) AS t FROM w)
 SELECT m.source FROM (SELECT source, sum(target_share) AS s, max(max_repeat) AS r FROM mixtargets GROUP BY source) m LEFT JOIN w USING (source), t WHERE coalesce(w.n, 0) * r < ceil(s * t)""",
         "p7_found": _P7 + " SELECT window_num, current_segment FROM y WHERE posts >= 5 AND posts >= 0.8 * term_posts",

@@ -61,13 +61,31 @@ def test_distinctiveness(spark):
     posts = spark.createDataFrame([(i, 1 if i < 6 else 2) for i in range(12)] + [(None, 1), (20, None)], "seq long, window_num int")
     rows = [(i, 0, "one") for i in range(6)] + [(i, 0, "both") for i in range(12)] + [(i, 1, "both") for i in range(12)] + [(3, 0, "one"), (4, 5, None), (4, 6, ""), (99, 0, "one")]
     df = spark.createDataFrame([(s, p if t != "both" else p + 10, t) for s, p, t in rows], "seq long, pos int, t string").withColumn("record", F.lit(1))
-    scored = distinctive.distinctiveness(distinctive.record_terms(posts, df, "seq", "window_num", "pos", "t"), mu=1.0)
+    scored = distinctive.distinctiveness(distinctive.record_terms(posts, df, "seq", "window_num", "pos", "t"), mu=1.0, min_records=1)
     by = {(r["record"], r["term"]): r for r in scored.collect()}
     assert by[1, "one"]["score"] > by[1, "both"]["score"] and by[1, "one"]["term_posts"] == 6
-    assert sorted((r["record"], r["term"]) for r in distinctive.standing_terms(scored).collect()) == [(1, "one")]
+    counts = distinctive.record_terms(posts, df, "seq", "window_num", "pos", "t")
+    assert sorted((r["record"], r["term"]) for r in distinctive.standing_terms(counts).collect()) == [(1, "one")]
+    assert {r["term"] for r in distinctive.distinctiveness(counts, min_records=7).collect()} == {"both"}
     assert distinctive.distinctiveness(distinctive.record_terms(posts, df.where("seq < 0"), "seq", "window_num", "pos", "t")).collect() == []
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_standing_terms_against_counts(spark, whole):
+    rng = random.Random(9)
+    rows = [(w, f"t{t}", n + rng.randrange(3), n) for w in range(1, 2 if whole else 9) for t in range(60) if (n := rng.choice((0, 1, 4, 5, 6, 30)) if rng.random() < 0.5 else 0)]
+    want = set()
+    for w, t, _, n in rows:
+        everywhere = sum(m for _, s, _, m in rows if s == t)
+        if n >= 5 and n >= 0.8 * everywhere:
+            want.add((w, t))
+    df = spark.createDataFrame(rows, "record int, term string, occurrences long, posts long")
+    for mu in (1.0, 2000.0):
+        got = distinctive.standing_terms(df, mu)
+        assert {(r["record"], r["term"]) for r in got.collect()} == want and want
+        assert "ln" in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(60)]
