@@ -4,7 +4,7 @@ Connected components on a two-dimensional grid. Vertices are hashed into B block
 two blocks, so a vertex with very many edges is spread over a whole row and column of cells. Each cell runs a local
 union-find and gives the smallest vertex it knows for each of its vertices. The cells of a row and a column then
 exchange those representatives: a vertex takes the smallest, and the others become edges of the next, smaller round.
-B follows the number of edges (one cell holds about ``edges_per_cell``), so it shrinks with them; the parents
+B follows the number of edges (one cell holds about ``edges_per_cell``) and is at least 2, so it shrinks with them; the parents
 are stable as soon as no edge is left.
 
 Defined results: rows with a null end, a null or NaN weight or a weight under the threshold are no ties; self edges, repeated
@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from burstloom.session import materialise, release
 
+#: copies of a label's change
+SALTS = 16
+
 
 def local_union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(vertex, smallest vertex of its component) for the edges a[i]-b[i], by pointer jumping over whole arrays."""
@@ -81,11 +84,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", edges_per
         left = work.count()
         if left == 0:
             break
-        blocks = max(1, math.ceil(math.sqrt(left / edges_per_cell)))
+        blocks = max(2, math.ceil(math.sqrt(left / edges_per_cell)))
         x, y = (F.pmod(F.xxhash64(c), F.lit(blocks)) for c in ("a", "b"))
         celled = work.select((F.least(x, y) * blocks + F.greatest(x, y)).alias("cell"), "a", "b")
-        celled = celled.repartition("cell") if blocks > 1 else celled.coalesce(1)
-        local = materialise(celled.sortWithinPartitions("cell").mapInArrow(_cells, "v long, r long"))
+        local = materialise(celled.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, "v long, r long"))
         parent = materialise(local.groupBy("v").agg(F.min("r").alias("p")))
         # representatives of one vertex in different cells belong together
         links = local.join(parent, "v").where("r <> p").select(F.least("r", "p").alias("a"), F.greatest("r", "p").alias("b")).distinct()
@@ -93,9 +95,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", edges_per
         if labels is None:
             composed = parent.select(F.col("v").alias("node_id"), F.col("p").alias("group_id"))
         else:
-            old = labels
-            step = parent.select(F.col("v").alias("group_id"), "p")
-            composed = old.join(step, "group_id", "left").select("node_id", F.coalesce("p", "group_id").alias("group_id"))
+            # all nodes of a giant component have one label: they are dealt over SALTS copies of its change
+            old = labels.withColumn("salt", F.pmod(F.xxhash64("node_id"), F.lit(SALTS)))
+            step = parent.where("v <> p").select(F.col("v").alias("group_id"), "p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+            composed = old.join(step, ["group_id", "salt"], "left").select("node_id", F.coalesce("p", "group_id").alias("group_id"))
         new = materialise(composed)
         release(work, local, parent, *([labels] if labels is not None else []))
         work, labels = following, new
