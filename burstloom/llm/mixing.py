@@ -51,62 +51,102 @@ def with_token_counts(docs: DataFrame, column: str, tokenizer_path: str, into: s
     return docs.withColumn(into, F.pandas_udf(count, "long")(F.col(column)))
 
 
+class _Network:
+    """Residual arcs of a flow network: arc ``e`` and its reverse ``e ^ 1``."""
+
+    def __init__(self, nodes: int):
+        self.arcs: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+        self.cost: list[int] = []
+
+    def add(self, a: int, b: int, room: int, cost: int) -> int:
+        for frm, to, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
+            self.arcs[frm].append(len(self.to))
+            self.to.append(to)
+            self.room.append(r)
+            self.cost.append(c)
+        return len(self.to) - 2
+
+    def distances(self, start: int, potential: list[int]) -> list[float]:
+        """Dijkstra over arcs with room, by reduced costs (never negative)."""
+        best: list[float] = [math.inf] * len(self.arcs)
+        best[start], heap = 0, [(0, start)]
+        while heap:
+            d, x = heapq.heappop(heap)
+            if d > best[x]:
+                continue
+            for e in self.arcs[x]:
+                y = self.to[e]
+                if self.room[e] > 0 and (n := d + self.cost[e] + potential[x] - potential[y]) < best[y]:
+                    best[y] = n
+                    heapq.heappush(heap, (n, y))
+        return best
+
+    def block(self, start: int, end: int, potential: list[int]) -> bool:
+        """Fill all shortest paths of fewest arcs over arcs of reduced cost 0; whether there was any."""
+        tight = lambda x, e: self.room[e] > 0 and self.cost[e] + potential[x] == potential[self.to[e]]
+        level, queue = {start: 0}, [start]
+        for x in queue:
+            for e in self.arcs[x]:
+                if tight(x, e) and self.to[e] not in level:
+                    level[self.to[e]] = level[x] + 1
+                    queue.append(self.to[e])
+        if end not in level:
+            return False
+        at = dict.fromkeys(level, 0)
+        path: list[int] = []
+        x = start
+        while True:
+            if x == end:
+                amount = min(self.room[e] for e in path)
+                for e in path:
+                    self.room[e] -= amount
+                    self.room[e ^ 1] += amount
+                full = next(i for i, e in enumerate(path) if not self.room[e])
+                x = self.to[path[full] ^ 1]
+                del path[full:]
+                continue
+            while at[x] < len(self.arcs[x]) and not (tight(x, e := self.arcs[x][at[x]]) and level.get(self.to[e]) == level[x] + 1):
+                at[x] += 1
+            if at[x] < len(self.arcs[x]):
+                path.append(self.arcs[x][at[x]])
+                x = self.to[path[-1]]
+            elif path:
+                x = self.to[path.pop() ^ 1]
+                at[x] += 1
+            else:
+                return True
+
+
 def min_cost_flow(capacity: dict[tuple, int], demand: dict[str, int], repeats: dict[str, int]) -> dict[tuple, int]:
-    """Tokens routed by (pattern, source, use): successive shortest paths over patterns x sources.
+    """Tokens routed by (pattern, source, use): as much as possible, and of that the cheapest.
 
-    The cost of an edge is its use number, so a first use is always taken before a second one of anything reachable.
+    The network runs from a start over the uses of patterns (room: the pattern's tokens, cost: the use number) and the sources that
+    may take them to the end (room: the source's demand). Shortest distances under reduced costs give new potentials, and all shortest
+    paths are filled at once, so there are only as many rounds as paths have different costs. A path may take tokens
+    back from another source and give it dearer ones.
     """
-    flow: dict[tuple, int] = defaultdict(int)
-    used: dict[tuple, int] = defaultdict(int)  # (pattern, use) -> tokens
-    missing = dict(demand)
-    uses = max([0, *repeats.values()])
-    by_source = defaultdict(list)
-    for p in capacity:
+    sources = sorted(demand)
+    number = {s: i + 2 for i, s in enumerate(sources)}
+    uses = [(p, k) for p in capacity for k in range(1, max([0, *(repeats.get(s, 0) for s in p if s in number)]) + 1)]
+    net = _Network(2 + len(sources) + len(uses))
+    arcs: dict[tuple, int] = {}
+    for i, (p, k) in enumerate(uses):
+        node = 2 + len(sources) + i
+        net.add(0, node, capacity[p], k)
         for s in p:
-            by_source[s].append(p)
-    for s in sorted(demand):
-        while missing[s] > 0:
-            # Dijkstra from source s over (source -> pattern use -> source that could give it up) with potentials >= 0
-            best, back, heap, end = {("s", s): 0}, {}, [(0, ("s", s))], None
-            while heap:
-                d, node = heapq.heappop(heap)
-                if d > best[node]:
-                    continue
-                if node[0] == "s":
-                    for p in by_source[node[1]]:
-                        for k in range(1, repeats.get(node[1], 0) + 1):
-                            nxt = ("p", p, k)
-                            if d + k < best.get(nxt, math.inf):
-                                best[nxt], back[nxt] = d + k, node
-                                heapq.heappush(heap, (d + k, nxt))
-                else:
-                    _, p, k = node
-                    if used[p, k] < capacity[p]:
-                        end = node
-                        break
-                    for other in p:
-                        if flow[p, other, k] > 0 and ("s", other) not in best:
-                            best["s", other], back["s", other] = d, node
-                            heapq.heappush(heap, (d, ("s", other)))
-            if end is None:
-                break
-            path, node = [], end
-            while node in back:
-                path.append((back[node], node))
-                node = back[node]
-            amount = min(missing[s], capacity[end[1]] - used[end[1], end[2]])
-            for frm, to in path:
-                if frm[0] == "p":
-                    amount = min(amount, flow[frm[1], to[1], frm[2]])
-            for frm, to in path:
-                if frm[0] == "s":
-                    flow[to[1], frm[1], to[2]] += amount
-                else:
-                    flow[frm[1], to[1], frm[2]] -= amount
-            used[end[1], end[2]] += amount
-            missing[s] -= amount
-    assert uses >= 0
-    return {k: v for k, v in flow.items() if v}
+            if s in number and repeats.get(s, 0) >= k:
+                arcs[p, s, k] = net.add(node, number[s], capacity[p], 0)
+    for s in sources:
+        net.add(number[s], 1, demand[s], 0)
+    potential = [0] * len(net.arcs)
+    while (best := net.distances(0, potential))[1] < math.inf:
+        far = best[1]
+        potential = [v + int(min(d, far)) for v, d in zip(potential, best, strict=True)]
+        while net.block(0, 1, potential):
+            pass
+    return {key: net.room[e ^ 1] for key, e in arcs.items() if net.room[e ^ 1]}
 
 
 class Mix:
@@ -160,8 +200,18 @@ class Mix:
         return at.join(want, "pattern").where("at >= lo and at < hi").select(id_col, "source", "use", "n_tokens")
 
 
-def mix(docs: DataFrame, targets: DataFrame, tokenizer_path: str | None, text: str = "text", source: str = "source") -> Mix:
-    """The mix of ``docs`` (one source per document) for a table of (source, target_share, max_repeat); without a tokenizer sizes are blank-separated words."""
+def merged_copies(sized: DataFrame, id_col: str, text: str, members: str = "members", size: str = "n_tokens") -> DataFrame:
+    """(id, members, size) of every different text: its smallest id and all sources that hold a copy of it. Only digests are moved."""
+    bare = sized.select(F.xxhash64(text).alias("_a"), F.md5(text).alias("_b"), id_col, F.explode_outer(members).alias("_m"), size)
+    per_text = bare.groupBy("_a", "_b").agg(F.min(id_col).alias(id_col), F.collect_set("_m").alias(members), F.max(size).alias(size))
+    return per_text.select(id_col, members, size)
+
+
+def mix(docs: DataFrame, targets: DataFrame, tokenizer_path: str | None, text: str = "text", source: str = "source", copies_of: str | None = None) -> Mix:
+    """The mix of ``docs`` (one source per document) for a table of (source, target_share, max_repeat); without a tokenizer sizes are blank-separated words.
+
+    copies_of: with the name of the id column, whole copies of a text are one document that belongs to all their sources.
+    """
     members = F.when(F.col(source).isNotNull(), F.array(source)).otherwise(F.array().cast("array<string>"))
     bare = docs.select(*[c for c in docs.columns if c not in ("members", "n_tokens")])
     if tokenizer_path is None:
@@ -170,5 +220,7 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer_path: str | None, text: s
     else:
         sized = with_token_counts(bare, text, tokenizer_path)
     sized = sized.withColumn("members", members)
+    if copies_of:
+        sized = merged_copies(sized, copies_of, text)
     rows = [(r["source"], r["target_share"], r["max_repeat"]) for r in targets.select("source", "target_share", "max_repeat").collect()]
     return Mix(sized, rows)

@@ -113,6 +113,12 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).report()
 
 
+def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with whole copies of a text as one document of all their sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, table(spark, sf_dir, "mixtargets"), f"{TOKENIZERS}/{SIZE_MODEL}", copies_of="doc_id").report()
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mix with their uses."""
     return _mix(spark, sf_dir).select("doc_id")
@@ -131,7 +137,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_groups, p4_found, p5_counts, p5_found, p6_found, p6_restored, p7_scores, p7_found, p8_found, p9_found, p9_words, p9_report, p9_mix, p10_levels, p10_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_groups, p4_found, p5_counts, p5_found, p6_found, p6_restored, p7_scores, p7_found, p8_found, p9_found, p9_words, p9_report, p9_texts, p9_mix, p10_levels, p10_found)}
 
 
 _SEGS = "WITH once AS (SELECT seq, pos, min(current_segment) AS seg FROM postsegments WHERE current_segment <> '' AND seq IS NOT NULL GROUP BY seq, pos)"

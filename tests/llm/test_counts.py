@@ -1,5 +1,6 @@
 """Problems 4, 5, 7, 8, 9 and 10."""
 
+import itertools
 import random
 
 import pytest
@@ -131,6 +132,60 @@ def test_flow_uses_shared_patterns_and_repeats():
     assert sum(tight.values()) == 30 and {k for _, _, k in tight} == {1, 2, 3}
 
 
+def _plain_flow(capacity, demand, repeats):
+    """(amount, cost) by unit steps along cheapest paths, found by Bellman-Ford."""
+    arcs = {}
+    for p, n in capacity.items():
+        for k in range(1, 4):
+            arcs["start", (p, k)] = [n, k]
+            for s in p:
+                if s in demand and repeats.get(s, 0) >= k:
+                    arcs[(p, k), s] = [n, 0]
+    for s, n in demand.items():
+        arcs[s, "end"] = [n, 0]
+    for (a, b), (_, c) in list(arcs.items()):
+        arcs[b, a] = [0, -c]
+    amount = cost = 0
+    while True:
+        best, back, moved = {"start": 0}, {}, True
+        while moved:
+            moved = False
+            for (a, b), (room, c) in arcs.items():
+                if room and a in best and best[a] + c < best.get(b, 10**9):
+                    best[b], back[b], moved = best[a] + c, a, True
+        if "end" not in best:
+            return amount, cost
+        x = "end"
+        while x != "start":
+            arcs[back[x], x][0] -= 1
+            arcs[x, back[x]][0] += 1
+            x = back[x]
+        amount, cost = amount + 1, cost + best["end"]
+
+
+def test_flow_is_of_minimum_cost():
+    rng = random.Random(1)
+    patterns = [p for n in (1, 2, 3) for p in itertools.combinations("abc", n)]
+    cases = [({("c",): 8, ("a", "b", "c"): 10, ("a", "c"): 3}, {"a": 12, "b": 1, "c": 2}, {"a": 3, "b": 2, "c": 1})]
+    for _ in range(150):
+        cases.append(({p: rng.randrange(0, 9) for p in rng.sample(patterns, rng.randrange(1, 6))}, {s: rng.randrange(0, 14) for s in "abc"[: rng.randrange(1, 4)]}, {s: rng.randrange(0, 4) for s in "abc"}))
+    for capacity, demand, repeats in cases:
+        flow = mixing.min_cost_flow(capacity, demand, repeats)
+        assert (sum(flow.values()), sum(k * v for (_, _, k), v in flow.items())) == _plain_flow(capacity, demand, repeats)
+        for s in demand:
+            assert sum(v for (_, q, _), v in flow.items() if q == s) <= demand[s]
+        assert all(sum(v for (q, _, j), v in flow.items() if (q, j) == (p, k)) <= n for p, n in capacity.items() for k in (1, 2, 3))
+
+
+def test_copies_belong_to_all_their_sources(spark):
+    rows = [(1, "x y z w", "a"), (2, "x y z w", "b"), (3, "x y z w", "a"), (4, "p q", "a"), (5, "r", None), (6, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 1)], "source string, target_share double, max_repeat int")
+    m = mixing.mix(docs, targets, None, copies_of="doc_id")
+    assert m.capacity == {("a", "b"): 4, ("a",): 2} and m.total == 7
+    assert sum(r["missing"] for r in m.report().collect()) == 1
+
+
 def test_mix(spark):
     docs = spark.createDataFrame([(i, 10, ["a"] if i < 20 else ["b"] if i < 25 else []) for i in range(40)], "doc_id long, n_tokens long, members array<string>")
     m = mixing.Mix(docs, [("a", 0.3, 1), ("b", 0.5, 3), ("c", 0.1, 2), ("d", 0.0, 1), (None, 0.1, 1)])
