@@ -53,14 +53,14 @@ def bare_list(text: str | None) -> list[str]:
         if _OTHER.search(text):
             text = unicodedata.normalize("NFKC", text)
             if _SCRIPT.search(text):
-                text = text.translate(_FOLD)
+                text = text.upper().translate(_FOLD)  # look-alikes of either case are folded alike
             text = _MARKS.sub("", unicodedata.normalize("NFD", _HIDDEN.sub("", text)))
             if _FAR.search(text):
                 text = _FAR_MARKS.sub("", text)
             text = text.replace("ە", "ه")
         for a, b in _SIMPLE:
             text = text.replace(a, b)
-    return _BARE.findall(text.lower())
+    return _BARE.findall(text.casefold())
 
 
 class WordNumbers(dict):
