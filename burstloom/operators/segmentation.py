@@ -20,30 +20,39 @@ def segment_spans(posts: DataFrame, top: int = 5) -> DataFrame:
 
 
 def segment_posts(posts: DataFrame, scores: DataFrame, top: int = 5) -> DataFrame:
-    """(post_id, segs): the best split of every post; distinct spans were scored once and come back by one join."""
-    spans = segment_spans(posts, top).join(scores.select("seg_text", "score"), "seg_text")
-    key = F.concat_ws(":", F.col("i").cast("string"), F.col("n").cast("string"))
-    by_post = spans.groupBy("post_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "score"))).alias("scores"))
-    held = posts.select("post_id", "tokens").join(by_post, "post_id", "left")
-    empty = F.create_map().cast("map<string,double>")
-    return _solve(held.withColumn("scores", F.coalesce("scores", empty)), top)
+    """(post_id, segs): the best split of every post; distinct spans were scored once and come back by one join.
+
+    Spans travel to their scores and to their posts as numbers: two hashes of their text and their place.
+    """
+    key = [F.xxhash64("seg_text").alias("h"), F.hash("seg_text").alias("g")]
+    spans = segment_spans(posts, top).select("post_id", (F.col("i") * top + F.col("n") - 1).cast("int").alias("at"), *key)
+    known = spans.join(scores.select(*key, "score"), ["h", "g"]).select("post_id", "at", "score")
+    by_post = known.groupBy("post_id").agg(F.collect_list("at").alias("at"), F.collect_list("score").alias("score"))
+    return _solve(posts.select("post_id", "tokens").join(by_post, "post_id", "left"), top)
 
 
 def _solve(held: DataFrame, top: int) -> DataFrame:
+    import numpy as np
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             ids, out = b.column(0), []
-            for tokens, pairs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                score = dict(pairs or [])
+            for i, tokens in enumerate(b.column(1).to_pylist()):
                 tokens = tokens or []
+                flat = np.zeros(len(tokens) * top)
+                if b.column(2)[i].is_valid:
+                    flat[b.column(2)[i].values.to_numpy()] = b.column(3)[i].values.to_numpy()
+                score = flat.tolist()
                 best, back = [0.0], [0]
                 for end in range(1, len(tokens) + 1):
-                    options = [(best[j] + score.get(f"{j}:{end - j}", 0.0), j) for j in range(max(0, end - top), end)]
-                    s, j = max(options, key=lambda x: (x[0], -x[1]))
+                    s, where = -np.inf, 0
+                    for j in range(max(0, end - top), end):
+                        x = best[j] + score[j * top + end - j - 1]
+                        if x > s:
+                            s, where = x, j
                     best.append(s)
-                    back.append(j)
+                    back.append(where)
                 at, segs = len(tokens), []
                 while at:
                     segs.append(" ".join(tokens[back[at] : at]))
@@ -51,7 +60,7 @@ def _solve(held: DataFrame, top: int) -> DataFrame:
                 out.append(segs[::-1])
             yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.string()))], names=["post_id", "segs"])
 
-    return held.select("post_id", "tokens", "scores").mapInArrow(run, "post_id long, segs array<string>")
+    return held.select("post_id", "tokens", "at", "score").mapInArrow(run, "post_id long, segs array<string>")
 
 
 def top_beam(spans: DataFrame, width: int = 20) -> DataFrame:

@@ -6,6 +6,8 @@ without a common post have weight 0 and no row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,27 +47,28 @@ def walk_step(pi: DataFrame, moves: DataFrame, jump: DataFrame, gamma: float) ->
     return jump.join(pushed, "node", "left").join(F.broadcast(mass)).select("node", (F.lit(gamma) * F.coalesce("s", F.lit(0.0)) + F.lit(1 - gamma) * F.col("e") * F.col("mass")).alias("pi"))
 
 
-def power_iteration(moves: DataFrame, jump: DataFrame, gamma: float = 0.85, rounds: int = 500, tolerance: float = 0.0, every: int = 5) -> DataFrame:
+def power_iteration(moves: DataFrame, jump: DataFrame, gamma: float = 0.85, rounds: int = 500, tolerance: float = 0.0) -> DataFrame:
     """(node, pi) after ``rounds`` steps from equal shares, or sooner if no value moves by more than ``tolerance``.
 
-    Every few steps the vector is written to the shared folder, which cuts the lineage and survives lost executors.
+    Nodes are numbered once, so that steps move numbers and no texts. Every step's vector is a table in the shared folder: its size is
+    known, so Spark sends it to the moves while it is small and shuffles both where it is not; lost executors cost one step.
     """
-    moves, jump = materialise(moves), materialise(jump)
-    n = jump.count()
-    pi = jump.select("node", F.lit(1.0 / max(n, 1)).alias("pi"))
-    written = None
-    for i in range(1, rounds + 1):
-        before, pi = pi, walk_step(pi, moves, jump, gamma)
-        if i % every == 0 or i == rounds:
-            pi = materialise(pi)
-            if tolerance:
-                moved = pi.alias("x").join(before.alias("y"), "node").agg(F.max(F.abs(F.col("x.pi") - F.col("y.pi")))).first()[0] or 0.0
-            if written is not None:
-                release(written)
-            written = pi
-            if tolerance and moved <= tolerance:
-                break
-    return pi
+    numbered = materialise(jump.withColumn("id", F.monotonically_increasing_id()))
+    ids = numbered.select("node", "id")
+    of = lambda end: ids.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
+    steps = materialise(moves.join(of("a"), "a").join(of("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "p"))
+    start = materialise(numbered.select(F.col("id").alias("node"), "e"))
+    n = start.count()
+    pi = materialise(start.select("node", F.lit(1.0 / max(n, 1)).alias("pi")))
+    for _ in range(rounds):
+        following = materialise(walk_step(pi, steps, start, gamma).join(pi.withColumnRenamed("pi", "before"), "node"))
+        moved = following.agg(F.max(F.abs(F.col("pi") - F.col("before")))).first()[0] or 0.0 if tolerance else math.inf
+        release(pi)
+        pi = following.select("node", "pi")
+        pi._burstloom_path = following._burstloom_path
+        if moved <= tolerance:
+            break
+    return ids.join(pi.withColumnRenamed("node", "id"), "id").select("node", "pi")
 
 
 def select_best(scores: DataFrame, k: int) -> DataFrame:

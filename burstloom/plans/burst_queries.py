@@ -37,7 +37,7 @@ QUERIES = {
     "sigmoid": _q(lambda s, p: s.select("post_id", "pos", F.round(burst.sigmoid(F.col("stickiness")), 6).alias("sig"))),
     "burst_test": _q(lambda s, p: _r("ps", "est")(burst.burst_test(burst.burst_stats(s, p)))),
     "burst_weight": _q(lambda s, p: _r("weight")(burst.burst_weight(burst.burst_test(burst.burst_stats(s, p)))).select("window_id", "seg_text", "weight")),
-    "burst_topk": _q(lambda s, p: _r("weight")(burst.detect_bursty(s, p)).where("rank <= 5")),
+    "burst_topk": _q(lambda s, p: _r("weight")(burst.burst_topk(s, burst.burst_weight(burst.burst_test(burst.burst_stats(s, p))), p))),
     "detect_bursty": _q(lambda s, p: _r("weight")(burst.detect_bursty(s, p))),
     "detect_bursty_last_n": _q(lambda s, p: _r("weight")(burst.detect_bursty(s, p, last_n=2))),
 }
@@ -49,7 +49,7 @@ SQL = {
     "sigmoid": f"WITH {SEGMENTS_SQL} SELECT post_id, pos, round(1.0 / (1.0 + exp(-stickiness)), 6) AS sig FROM segs",
     "burst_test": STATS_SQL + " SELECT window_id, seg_text, fst, ust, nt, round(ps, 6) AS ps, round(est, 6) AS est FROM bursty",
     "burst_weight": STATS_SQL + " SELECT window_id, seg_text, round(weight, 6) AS weight FROM weighted",
-    "burst_topk": STATS_SQL + " SELECT window_id, post_id, rank, seg_text, round(weight, 6) AS weight FROM top WHERE rank <= 5",
+    "burst_topk": STATS_SQL + " SELECT window_id, post_id, rank, seg_text, round(weight, 6) AS weight FROM top",
     "detect_bursty": STATS_SQL + " SELECT window_id, post_id, rank, seg_text, round(weight, 6) AS weight FROM top",
     "detect_bursty_last_n": STATS_SQL + f" SELECT window_id, post_id, rank, seg_text, round(weight, 6) AS weight FROM top WHERE {LAST2}",
 }

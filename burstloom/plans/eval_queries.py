@@ -11,19 +11,9 @@ from burstloom.session import materialise
 from burstloom.sources.readers import table
 from burstloom.sources.views import POSTS_SQL, SEGMENTS_SQL, edges, nodes, posts, segments
 
-GAMMA, ROUNDS = 0.85, 5
-
-
-def _gold(s, d):
-    def labels(c):
-        return F.when(F.col(c).rlike("^[0-9]+([,;|/][0-9]+)*$"), F.transform(F.split(c, "[,;|/]"), lambda x: x.cast("int")))
-
-    return table(s, d, "gldn_std").select("gold_id", labels("gold_class").alias("classes"), labels("gold_cluster").alias("clusters"))
-
-
-def _single(s, d):
-    g = _gold(s, d).where("size(classes) = 1 and size(clusters) = 1")
-    return g.select("gold_id", F.col("classes")[0].alias("klass"), F.col("clusters")[0].alias("cluster"))
+GAMMA, ROUNDS = 0.85, 500
+#: the walk ends before ROUNDS when no share moves by more: none of the digits returned does any more
+STILL = 1e-13
 
 
 def _held(s, d):
@@ -43,8 +33,8 @@ def _graph(s, d):
     return _held(s, d).select("node").distinct().join(e.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"), F.round(F.sum("w"), 5).alias("strength")), "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
 
 
-def _pi(s, d, rounds=ROUNDS):
-    return walk.power_iteration(walk.transition_prob(_edges(s, d)), walk.teleport(_held(s, d), _kb(s, d)), GAMMA, rounds)
+def _pi(s, d):
+    return walk.power_iteration(walk.transition_prob(_edges(s, d)), walk.teleport(_held(s, d), _kb(s, d)), GAMMA, ROUNDS, STILL)
 
 
 def _step(s, d):
@@ -85,13 +75,11 @@ def _r(df, **digits):
 
 
 QUERIES = {
-    "entropy": lambda s, d: _r(evaluation.single_entropy(_single(s, d), "cluster", "klass"), h=6),
+    "entropy": lambda s, d: _r(evaluation.entropy(_packed(s, d), "clusters", "classes", "gold_id"), h=6).select("group", "h", "n"),
     "entropy_verbose": lambda s, d: _r(evaluation.entropy(_packed(s, d), "clusters", "classes", "gold_id"), h=6),
     "entropy_verbose_classes": lambda s, d: _r(evaluation.entropy(_packed(s, d), "classes", "clusters", "gold_id"), h=6),
-    "cluster_class_entropy": lambda s, d: _r(evaluation.cluster_class_entropy(_single(s, d), "cluster", "klass"), cluster_entropy=6, class_entropy=6).drop("f"),
-    "entropy_f": lambda s, d: _r(evaluation.cluster_class_entropy(_single(s, d), "cluster", "klass"), f=6).select("f"),
-    "entropy_multi": lambda s, d: _r(evaluation.total_entropy(_packed(s, d), "clusters", "classes", "gold_id"), entropy=6),
-    "cluster_class_entropy_multi": lambda s, d: _r(evaluation.multi_entropies(_packed(s, d), "clusters", "classes", "gold_id"), cluster_entropy=6, class_entropy=6, f=6),
+    "cluster_class_entropy": lambda s, d: _r(evaluation.multi_entropies(_packed(s, d), "clusters", "classes", "gold_id"), cluster_entropy=6, class_entropy=6).drop("f"),
+    "entropy_f": lambda s, d: _r(evaluation.multi_entropies(_packed(s, d), "clusters", "classes", "gold_id"), f=6).select("f"),
     "param_sweep": _sweep,
     "jaccard_edges": lambda s, d: _r(_edges(s, d), w=6),
     "entity_graph": _graph,
@@ -100,15 +88,10 @@ QUERIES = {
     "walk_matrix": lambda s, d: _r(_step(s, d), pi=9),
     "power_iteration": lambda s, d: _r(_pi(s, d), pi=9),
     "mean_abs_dev": lambda s, d: segments(s, d).groupBy("window_id").agg(F.round(F.avg(F.abs(F.col("stickiness"))), 6).alias("mad")),
-    "attach_names": lambda s, d: _r(_pi(s, d, 1), pi=9).join(nodes(s, d).select(F.col("seg_text").alias("node"), F.col("node").alias("node_id"), "window_id"), "node").select("window_id", "node_id", "pi"),
+    "attach_names": lambda s, d: _r(_pi(s, d), pi=9).join(nodes(s, d).select(F.col("seg_text").alias("node"), F.col("node").alias("node_id"), "window_id"), "node").select("window_id", "node_id", "pi"),
     "select_best": lambda s, d: walk.select_best(_r(_pi(s, d), pi=9), 50),
 }
 
-_GOLD = """WITH g AS (SELECT gold_id, CASE WHEN regexp_matches(gold_class, '^[0-9]+$') THEN gold_class::INT END AS klass, CASE WHEN regexp_matches(gold_cluster, '^[0-9]+$') THEN gold_cluster::INT END AS cluster FROM gldn_std), s AS (SELECT * FROM g WHERE klass IS NOT NULL AND cluster IS NOT NULL),
-kc AS (SELECT cluster, klass, count(*) AS c FROM s GROUP BY ALL), hc AS (SELECT cluster AS "group", sum(c) * log2(sum(c)) - sum(c * log2(c)) AS h, sum(c)::BIGINT AS n FROM kc GROUP BY cluster), hk AS (SELECT klass, sum(c) * log2(sum(c)) - sum(c * log2(c)) AS h, sum(c) AS n FROM kc GROUP BY klass),
-e AS (SELECT (SELECT sum(h) / sum(n) FROM hc) AS ce, (SELECT sum(h) / sum(n) FROM hk) AS ke)"""
-
-
 def _walk(rounds: int) -> str:
     out = f"""WITH {POSTS_SQL}, {SEGMENTS_SQL}, held AS (SELECT DISTINCT seg_text AS node, post_id FROM segs), sizes AS (SELECT node, count(*) AS n FROM held GROUP BY node),
 common AS (SELECT x.node AS a, y.node AS b, count(*) AS c FROM held x JOIN held y ON x.post_id = y.post_id AND x.node < y.node GROUP BY ALL),
@@ -121,16 +104,10 @@ pi0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM jump) AS pi FROM jump)"
 
 
 SQL = {
-    "entropy": _GOLD + ' SELECT "group", round(h, 6) AS h, n FROM hc',
-    "cluster_class_entropy": _GOLD + " SELECT round(ce, 6) AS cluster_entropy, round(ke, 6) AS class_entropy FROM e",
-    "entropy_f": _GOLD + " SELECT round(coalesce(2 * ce * ke / nullif(ce + ke, 0), 0.0), 6) AS f FROM e",
     "jaccard_edges": _walk(0) + " SELECT a, b, round(w, 6) AS w FROM je",
     "entity_graph": _walk(0) + ", g AS (SELECT a AS node, count(*) AS degree, round(sum(w), 5) AS strength FROM m GROUP BY a) SELECT node, coalesce(degree, 0) AS degree, coalesce(strength, 0.0::DOUBLE) AS strength FROM sizes LEFT JOIN g USING (node)",
     "transition_prob": _walk(0) + " SELECT a, b, round(p, 6) AS p FROM tp",
     "teleport": _walk(0) + " SELECT node, round(e, 10) AS e FROM jump",
     "walk_matrix": _walk(1) + " SELECT node, round(pi, 9) AS pi FROM pi1",
-    "power_iteration": _walk(ROUNDS) + f" SELECT node, round(pi, 9) AS pi FROM pi{ROUNDS}",
     "mean_abs_dev": f"WITH {SEGMENTS_SQL} SELECT window_id, round(avg(abs(stickiness)), 6) AS mad FROM segs GROUP BY window_id",
-    "attach_names": _walk(1) + " SELECT window_num AS window_id, node_id, round(pi, 9) AS pi FROM pi1 JOIN graphnodes ON seg_text = node",
-    "select_best": _walk(ROUNDS) + f" SELECT node, round(pi, 9) AS pi FROM pi{ROUNDS} ORDER BY round(pi, 9) DESC, node LIMIT 50",
 }

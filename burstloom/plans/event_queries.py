@@ -9,7 +9,10 @@ from burstloom.operators.ngram import kb_from_posts, lm_score
 from burstloom.session import materialise
 from burstloom.sources.views import EDGES_SQL, NODES_SQL, POSTS_SQL, SEGMENTS_SQL, edges, nodes, posts, segments
 
+#: k_min of the chain from clusters to labels; the graphs here have about five edges a node, and at 6 hardly a cluster is left
 K, K_MIN = 15, 2
+#: k_min of the fixed choice
+FIXED_MIN = 6
 
 
 def _near(s, d):
@@ -89,7 +92,7 @@ QUERIES = {
     "shared_neighbors": _shared,
     "jarvis_patrick": _jp,
     "noise_clusters": lambda s, d: cluster.noise_clusters(_jp(s, d)),
-    "cluster_fixed": lambda s, d: cluster.cluster_fixed(nodes(s, d), edges(s, d), K, K_MIN),
+    "cluster_fixed": lambda s, d: cluster.cluster_fixed(nodes(s, d), edges(s, d), K, FIXED_MIN),
     "silhouette": _silhouette,
     "cluster_grid_auto": lambda s, d: cluster.best_or_initial(_grid(s, d, cluster.auto_grid), cluster.auto_initial(nodes(s, d))),
     "cluster_grid_range": _range,
@@ -146,7 +149,7 @@ SQL = {
     "shared_neighbors": _KNN + "SELECT * FROM shared",
     "jarvis_patrick": _KNN + "SELECT * FROM jp",
     "noise_clusters": _KNN + "SELECT * FROM noisy",
-    "cluster_fixed": _KNN + "SELECT * FROM noisy WHERE cluster <> -1",
+    "cluster_fixed": _KNN.replace(f">= {K_MIN})", f">= {FIXED_MIN})") + "SELECT * FROM noisy WHERE cluster <> -1",
     "silhouette": _KNN.rstrip() + _SIL,
     "segment_news": _KNN + "SELECT seg_text, round(mu, 6) AS mu FROM news",
     "segment_news_lm": "SELECT DISTINCT seg_text, round(list_min(list_transform(string_split(seg_text, ' '), lambda x: length(x))) / list_max(list_transform(string_split(seg_text, ' '), lambda x: length(x))), 6) AS score FROM graphnodes",

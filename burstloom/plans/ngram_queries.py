@@ -30,8 +30,9 @@ def _cohesion(f, column):
 
 
 def _span_scores(s, d):
+    """The scores of all distinct spans with the knowledge-base factor, to nine digits, so that equal splits tie."""
     spans = S.segment_spans(_tokens(s, d))
-    return N.stickiness(spans, ngrams(s, d), None)
+    return N.stickiness(spans, ngrams(s, d), N.kb_from_posts(segments(s, d), posts(s, d))).withColumn("score", F.round("score", 9))
 
 
 QUERIES = {
@@ -91,3 +92,20 @@ SELECT t.seg_text, round(CASE WHEN len(ws) > 5 THEN 0.0::DOUBLE ELSE coalesce(cp
     "segment_spans": _TOK + " SELECT post_id, i, n, seg_text FROM spans",
     "top_e_beam": _TOK + f", sc AS (SELECT *, {_LEN.format('n')} * {_EVEN.format('seg_text')} AS score FROM spans), r AS (SELECT post_id, row_number() OVER (PARTITION BY post_id ORDER BY score DESC, i, n) AS rank, seg_text, round(score, 6) AS score FROM sc) SELECT * FROM r WHERE rank <= 20",
 }
+_DP = _TOK.replace("WITH ", f"WITH RECURSIVE {SEGMENTS_SQL}, {NGRAMS_SQL}, ", 1) + f""", texts AS (SELECT DISTINCT seg_text, string_split(seg_text, ' ') AS ws FROM spans),
+cuts AS (SELECT seg_text, len(ws) AS n, array_to_string(ws[1:i], ' ') AS pre, array_to_string(ws[i + 1:], ' ') AS suf FROM texts, unnest(CASE WHEN len(ws) > 1 THEN range(1, len(ws)) ELSE [NULL] END) AS u(i)),
+parts AS (SELECT c.seg_text, n, sum(coalesce(p.cnt, 0.0) * coalesce(q.cnt, 0.0)) AS products FROM cuts c LEFT JOIN grams p ON p.seg_text = c.pre LEFT JOIN grams q ON q.seg_text = c.suf GROUP BY ALL),
+v AS (SELECT parts.*, coalesce(g.cnt, 0.0) AS f FROM parts LEFT JOIN grams g USING (seg_text)),
+pp AS (SELECT DISTINCT seg_text, post_id FROM segs), kb AS (SELECT seg_text, count(*)::DOUBLE / (SELECT count(*) FROM posts) AS q FROM pp GROUP BY seg_text),
+scores AS MATERIALIZED (SELECT seg_text, round({_LEN.format('n')} * ({_SCP}) * exp(coalesce(q, 0.0)), 9) AS score FROM v LEFT JOIN kb USING (seg_text)),
+ends AS MATERIALIZED (SELECT post_id, i + n AS e, list(score ORDER BY i) AS sc FROM spans JOIN scores USING (seg_text) GROUP BY post_id, i + n),
+dp AS (SELECT post_id, 0 AS e, [0.0::DOUBLE] AS best, 0 AS back FROM toks
+UNION ALL SELECT post_id, e, list_append(best, list_max(o)), (e - len(sc) + list_position(o, list_max(o)) - 1)::INT FROM
+(SELECT d.post_id, x.e, d.best, x.sc, list_transform(range(1, len(x.sc) + 1), lambda k: d.best[x.e - len(x.sc) + k] + x.sc[k]) AS o FROM dp d JOIN ends x ON x.post_id = d.post_id AND x.e = d.e + 1)),
+backs AS MATERIALIZED (SELECT post_id, e, back FROM dp WHERE e > 0),
+path AS (SELECT post_id, len(tokens)::BIGINT AS e FROM toks WHERE len(tokens) > 0 UNION ALL SELECT p.post_id, b.back::BIGINT FROM path p JOIN backs b ON b.post_id = p.post_id AND b.e = p.e WHERE b.back > 0),
+cutted AS (SELECT p.post_id, (row_number() OVER (PARTITION BY p.post_id ORDER BY p.e) - 1)::INT AS pos, array_to_string(tokens[b.back + 1 : p.e], ' ') AS seg_text FROM path p JOIN backs b ON b.post_id = p.post_id AND b.e = p.e JOIN toks t ON t.post_id = p.post_id)"""
+SQL |= {
+    "segment_dp": _DP + " SELECT t.post_id, coalesce(string_agg(seg_text, ' | ' ORDER BY pos), '') AS segs FROM toks t LEFT JOIN cutted USING (post_id) GROUP BY t.post_id",
+    "segment_posts": _DP + " SELECT post_id, pos, seg_text FROM cutted",
+}

@@ -2,65 +2,69 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from burstloom.functions import text as T
 from burstloom.operators import events, tagging
-from burstloom.plans import event_queries
-from burstloom.session import shared_dir
+from burstloom.operators.packed import packed_labels
+from burstloom.plans import eval_queries, event_queries
+from burstloom.session import scratch
 from burstloom.sources import io
 from burstloom.sources.readers import table
 from burstloom.sources.views import POSTS_SQL, SEGMENTS_SQL, nodes, posts, segments
 
 _START, _END = "2017-01-02 00:00:00", "2017-01-20 00:00:00"
+_NORMAL_SQL = "translate(regexp_replace({0}, '[\\x{{064B}}-\\x{{065F}}\\x{{0670}}\\x{{06D6}}\\x{{06DA}}\\x{{06E5}}\\x{{06ED}}\\x{{0640}}]', '', 'g'), '" + T.FOLD_FROM + "' || chr(8204), '" + T.FOLD_TO + " ')"
 STOP_LIST = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _TYPE_SQL = """CASE WHEN regexp_matches({0}, '^[0-9۰-۹]+$') THEN 'Integer' WHEN regexp_matches({0}, '^[A-Za-z]+$') THEN 'EnglishWord'
   WHEN regexp_matches({0}, '^[آ-یءأؤئ]+$') THEN 'PersianWord' WHEN regexp_matches({0}, '^[آ-یءأؤئ]+(‌[آ-یءأؤئ]+)+$') THEN 'CompoundWord' ELSE 'Other' END"""
 _SPLIT_SQL = "regexp_split_to_array(regexp_replace(text, '[.!؟?,،؛;:|]', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+')"
 
 
-def _labels_roundtrip(spark, sf):
-    p = posts(spark, sf).select("window_id", F.col("post_id").alias("sequence"), F.size("types").alias("event_number")).where("window_id is not null")
-    path = f"{shared_dir(spark)}/labels-{uuid.uuid4().hex}"
-    io.write_labels(p, path)
-    return io.read_labels(spark, path, "sequence long, event_number int, window_id int").select("window_id", "sequence", "event_number")
+def _lines(spark, sf):
+    """(doc_id, line_no, tokens): every line of the documents, normalised, without stop words and tokenised."""
+    lines = io.text_lines(table(spark, sf, "documents"), "doc_id", "text")
+    tokens = T.tokenize(T.remove_stopwords(T.normalize_text(F.col("line"))))
+    return lines.select("doc_id", "line_no", F.array_join(tokens, " ").alias("tokens"))
 
 
-def _grid_roundtrip(spark, sf):
-    g = table(spark, sf, "ngrams").where("cnt is not null").groupBy("n_words").agg(F.count("*").alias("k"), F.round(F.sum("cnt"), 3).alias("metric"))
-    path = f"{shared_dir(spark)}/grid-{uuid.uuid4().hex}"
-    io.write_labels(g.withColumnRenamed("n_words", "window_id"), path)
-    return io.read_labels(spark, path, "k long, metric double, window_id int").select("window_id", "k", "metric")
+def _gold(spark, sf):
+    gold = table(spark, sf, "gldn_std")
+    lists = io.gold_labels(gold, packed_labels(gold, "gold_id", ["gold_class", "gold_cluster"]))
+    return lists.select("gold_id", "sample", F.array_join("classes", " | ").alias("classes"), F.array_join("clusters", " | ").alias("clusters"))
 
 
-def _topics(spark, sf):
-    from pyspark.sql import Window
+def _sheets(spark, df, name, schema):
+    """``df`` written as one sheet per window and read again."""
+    path = scratch(spark, name)
+    io.write_sheets(df.where("window_id is not null"), path)
+    return io.read_sheets(spark, path, schema)
 
-    n = nodes(spark, sf).where("window_id between 11 and 14").withColumn("rank", F.row_number().over(Window.partitionBy("window_id").orderBy("seg_text", "node")))
-    return io.topics_sheet(n.where("rank <= 5").withColumnRenamed("seg_text", "topic"), [11, 12, 13, 14])
 
+def _labels_sheet(spark, sf):
+    labels = event_queries.QUERIES["post_event_labels"](spark, sf).select("window_id", F.col("post_id").alias("sequence"), F.col("label").alias("event_number"))
+    return _sheets(spark, labels, "labels", "sequence long, event_number string, window_id int").select("window_id", "sequence", "event_number")
 
-def _all_topics(spark, sf):
-    """(window_id, rank, cluster, topic): the titles of the best realistic events of every window, one long table for the sheet's columns."""
-    top = events.realistic_topk(event_queries._news(spark, sf), 15.0, 5).select("window_id", "rank", "cluster")
-    return top.join(event_queries._titles(spark, sf).withColumnRenamed("title", "topic"), ["window_id", "cluster"]).select("window_id", "rank", "cluster", "topic")
 
+def _grid_sheet(spark, sf):
+    order = F.row_number().over(Window.partitionBy("window_id").orderBy("k", "k_min"))
+    grid = event_queries.QUERIES["cluster_grid_range"](spark, sf).select("window_id", order.alias("ordinal"), "k", "k_min", F.col("silhouette").alias("metric"))
+    return _sheets(spark, grid, "grid", "ordinal int, k int, k_min int, metric double, window_id int").select("window_id", "ordinal", "k", "k_min", "metric")
 
-def _gold_windows(spark, sf):
-    """(window_id, gold_id, ordinal, sample): every gold row with the window of its slice."""
-    out = None
-    for w in io.GOLD_SLICES:
-        part = io.gold_window(table(spark, sf, "gldn_std"), w).select(F.lit(w).alias("window_id"), "gold_id", "ordinal", "sample")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+def _topics_sheet(spark, sf):
+    """(window_id, rank, topic): the titles of the best realistic events of every window."""
+    top = events.realistic_topk(event_queries._news(spark, sf), 15.0, 5).select("window_id", "rank", "cluster")
+    topics = top.join(event_queries._titles(spark, sf).withColumnRenamed("title", "topic"), ["window_id", "cluster"]).select("window_id", "rank", "topic")
+    return _sheets(spark, topics, "topics", "rank int, topic string, window_id int").select("window_id", "rank", "topic")
 
 
 def _report(spark, sf):
-    p = posts(spark, sf).groupBy("window_id").agg(F.count("*").alias("n"))
-    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
-    p.select(F.format_string("window %d: %d posts", "window_id", "n").alias("value")).write.text(path)
+    """The lines of the entropy trace: group, weighted entropy, samples and the order in which labels were resolved."""
+    traced = eval_queries.QUERIES["entropy_verbose"](spark, sf)
+    path = scratch(spark, "report")
+    traced.select(F.format_string("%s: %.6f over %d | %s", "group", "h", "n", "trace").alias("value")).write.text(path)
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
@@ -69,16 +73,14 @@ QUERIES = {
     "parse_post_json": lambda s, d: io.parse_post_json(table(s, d, "rawposts")).select("seq", F.array_join("tokens", " ").alias("tokens"), F.array_join("types", " ").alias("types")),
     "null_default": lambda s, d: posts(s, d).select("post_id", io.null_default("deleted").alias("deleted")),
     "run_windows": lambda s, d: io.run_windows(posts(s, d).where("sent_at is not null and window_id is not null")),
-    "scan_text_lines": lambda s, d: io.text_lines(table(s, d, "documents"), "doc_id", "text"),
+    "scan_text_lines": _lines,
     "scan_npy": lambda s, d: posts(s, d).select("post_id", "text", F.size("types").alias("n_types"), "user_id", "window_id"),
-    "scan_xls_gold": lambda s, d: io.gold_labels(table(s, d, "gldn_std")).select("gold_id", "sample", T.list_to_csv(F.col("classes")).alias("classes"), F.element_at("clusters", 1).alias("first_cluster")),
-    "scan_xls_window": lambda s, d: io.gold_window(table(s, d, "gldn_std"), 15).select("gold_id", "ordinal", "sample"),
-    "scan_xls_windows": _gold_windows,
+    "scan_xls_gold": _gold,
+    "scan_xls_window": lambda s, d: io.gold_windows(table(s, d, "gldn_std")).select("window_id", "gold_id", "ordinal", "sample"),
     "sink_checkpoint": lambda s, d: io.checkpoint_stage(segments(s, d)).select("post_id", "pos", "seg_text"),
-    "sink_labels_xls": _labels_roundtrip,
-    "sink_grid_xls": _grid_roundtrip,
-    "sink_topics_xls": _topics,
-    "sink_topics_all": _all_topics,
+    "sink_labels_xls": _labels_sheet,
+    "sink_grid_xls": _grid_sheet,
+    "sink_topics_xls": _topics_sheet,
     "sink_report_txt": _report,
     "slice_windows": lambda s, d: io.slice_windows(table(s, d, "alldata"), 12, 20).select("seq", "window_num", "loaded_at"),
     "normalize_text": lambda s, d: posts(s, d).select("post_id", T.normalize_text(F.col("text")).alias("text")),
@@ -102,23 +104,22 @@ SELECT seq, array_to_string(list_transform(kept, lambda t: t.Token), ' ') AS tok
     "null_default": f"WITH {POSTS_SQL} SELECT post_id, coalesce(deleted, '') AS deleted FROM posts",
     "run_windows": f"""WITH {POSTS_SQL}, k AS (SELECT post_id, window_id, sent_at, coalesce((lag(window_id) OVER (ORDER BY sent_at, post_id DESC) <> window_id)::INT, 0) AS turn FROM posts WHERE sent_at IS NOT NULL AND window_id IS NOT NULL)
 SELECT post_id, window_id, (sum(turn) OVER (ORDER BY sent_at, post_id DESC ROWS UNBOUNDED PRECEDING))::BIGINT AS run FROM k""",
-    "scan_text_lines": "SELECT doc_id, (i - 1)::INT AS line_no, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i) WHERE trim(string_split(text, chr(10))[i], ' ') <> ''",
+    "scan_text_lines": f"""WITH l AS (SELECT doc_id, (i - 1)::INT AS line_no, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i) WHERE trim(string_split(text, chr(10))[i], ' ') <> ''),
+n AS (SELECT doc_id, line_no, {_NORMAL_SQL.format('line')} AS text FROM l), w AS (SELECT doc_id, line_no, array_to_string(list_filter({_SPLIT_SQL}, lambda w: w NOT IN ({STOP_LIST}) AND w <> ''), ' ') AS text FROM n)
+SELECT doc_id, line_no, array_to_string(list_filter({_SPLIT_SQL}, lambda w: {_TYPE_SQL.format('w')} IN ('PersianWord', 'CompoundWord', 'Integer')), ' ') AS tokens FROM w""",
     "scan_npy": f"WITH {POSTS_SQL} SELECT post_id, text, len(types) AS n_types, user_id, window_id FROM posts",
-    "scan_xls_gold": """SELECT gold_id, sample, CASE WHEN regexp_matches(gold_class, '^[0-9]+(,[0-9]+)*$') THEN array_to_string(list_transform(string_split(gold_class, ','), lambda x: x::INT::VARCHAR), ',') END AS classes,
-CASE WHEN regexp_matches(gold_cluster, '^[0-9]+(,[0-9]+)*$') THEN string_split(gold_cluster, ',')[1]::INT END AS first_cluster FROM gldn_std""",
-    "scan_xls_window": "SELECT gold_id, ordinal, sample FROM (SELECT *, (row_number() OVER (ORDER BY gold_id) - 1)::INT AS ordinal FROM gldn_std) WHERE ordinal >= 94 AND ordinal < 150",
+    "scan_xls_window": """SELECT CASE WHEN ordinal < 94 THEN 14 WHEN ordinal < 150 THEN 15 WHEN ordinal < 508 THEN 16 ELSE 17 END AS window_id, gold_id, ordinal, sample
+FROM (SELECT *, (row_number() OVER (ORDER BY gold_id) - 1)::INT AS ordinal FROM gldn_std)""",
     "sink_checkpoint": f"WITH {SEGMENTS_SQL} SELECT post_id, pos, seg_text FROM segs",
-    "sink_labels_xls": f"WITH {POSTS_SQL} SELECT window_id, post_id AS sequence, len(types)::INT AS event_number FROM posts WHERE window_id IS NOT NULL",
-    "sink_grid_xls": "SELECT n_words AS window_id, count(*) AS k, round(sum(cnt), 3) AS metric FROM ngrams WHERE cnt IS NOT NULL GROUP BY n_words",
-    "sink_topics_xls": """WITH r AS (SELECT window_num, seg_text, row_number() OVER (PARTITION BY window_num ORDER BY seg_text, node_id)::INT AS rank FROM graphnodes WHERE window_num BETWEEN 11 AND 14)
-SELECT rank, max(seg_text) FILTER (window_num = 11) AS w11, max(seg_text) FILTER (window_num = 12) AS w12, max(seg_text) FILTER (window_num = 13) AS w13, max(seg_text) FILTER (window_num = 14) AS w14 FROM r WHERE rank <= 5 GROUP BY rank""",
-    "sink_report_txt": f"WITH {POSTS_SQL} SELECT 'window ' || window_id || ': ' || count(*) || ' posts' AS line FROM posts GROUP BY window_id",
+    "sink_labels_xls": "SELECT window_id, post_id AS sequence, label AS event_number FROM (" + event_queries.SQL["post_event_labels"] + ") WHERE window_id IS NOT NULL",
+    "sink_topics_xls": "SELECT r.window_id, r.rank::INT AS rank, t.title AS topic FROM (" + event_queries.SQL["realistic_topk"] + ") r JOIN (" + event_queries.SQL["event_title"] + ") t USING (window_id, cluster)",
     "slice_windows": "SELECT seq, window_num, loaded_at FROM alldata WHERE window_num BETWEEN 12 AND 20",
-    "normalize_text": f"WITH {POSTS_SQL} SELECT post_id, translate(regexp_replace(text, '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}]', '', 'g'), '{T.FOLD_FROM}' || chr(8204), '{T.FOLD_TO} ') AS text FROM posts",
+    "normalize_text": f"WITH {POSTS_SQL} SELECT post_id, {_NORMAL_SQL.format('text')} AS text FROM posts",
     "remove_stopwords": f"WITH {POSTS_SQL} SELECT post_id, array_to_string(list_filter({_SPLIT_SQL}, lambda w: w NOT IN ({STOP_LIST}) AND w <> ''), ' ') AS text FROM posts",
     "tokenize": f"WITH {POSTS_SQL} SELECT post_id, array_to_string(list_filter({_SPLIT_SQL}, lambda w: {_TYPE_SQL.format('w')} IN ('PersianWord', 'CompoundWord', 'Integer')), ' ') AS tokens FROM posts",
     "token_type": f"WITH {SEGMENTS_SQL}, h AS (SELECT post_id, pos, string_split(seg_text, ' ')[1] AS w FROM segs) SELECT post_id, pos, {_TYPE_SQL.format('w')} AS kind FROM h",
-    "noise_filter": f"WITH {SEGMENTS_SQL} SELECT * FROM (SELECT post_id, pos, regexp_replace(seg_text, '{T.NOISE}', '', 'g') AS seg_text FROM segs) WHERE seg_text <> ''",
+    "noise_filter": f"""WITH {SEGMENTS_SQL} SELECT post_id, pos, seg_text FROM segs WHERE NOT (seg_text LIKE '%خخ%' OR seg_text LIKE '%ههه %' OR seg_text LIKE '%##%' OR seg_text = 'WORDorEXP'
+OR len(list_filter(string_split(seg_text, ''), lambda c: NOT (c BETWEEN ' ' AND '_' OR c BETWEEN '۰' AND '۹' OR c = '~'))) = 0)""",
     "bio_tags": f"""WITH {SEGMENTS_SQL}, e AS (SELECT seg_text, min(node_id)::INT AS rank FROM graphnodes GROUP BY seg_text),
 t AS (SELECT post_id, pos, coalesce(rank, 0) AS rank, string_split(seg_text, ' ') AS ws FROM segs LEFT JOIN e USING (seg_text))
 SELECT post_id, pos, (i - 1)::INT AS word_no, ws[i] AS word, CASE WHEN rank = 0 THEN 'O' WHEN i = 1 THEN 'B' ELSE 'I' END AS tag, rank FROM t, unnest(range(1, len(ws) + 1)) AS u(i)""",

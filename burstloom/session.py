@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -25,8 +26,10 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, memory: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or an own one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session; an own one where it is unset and the session runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = getattr(spark, "_burstloom_dir", None) or tempfile.mkdtemp(prefix="burstloom-")
         spark._burstloom_dir = found
@@ -54,6 +57,13 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is deleted when the session's process ends."""
+    path = f"{shared_dir(spark)}/burstloom-{name}-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession

@@ -52,26 +52,30 @@ def text_lines(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return df.select(id_col, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 
-def gold_labels(gold: DataFrame) -> DataFrame:
-    """(gold_id, classes, clusters): label numbers of the fields that hold plain comma-separated numbers, else null."""
+def gold_labels(gold: DataFrame, labels: DataFrame) -> DataFrame:
+    """(gold_id, sample, classes, clusters): the labels of every row in the order of their fields; null where a field has none.
 
-    def numbers(c: str) -> Column:
-        plain = F.col(c).rlike(r"^[0-9]+(,[0-9]+)*$")
-        return F.when(plain, F.transform(F.split(c, ","), lambda x: x.cast("int")))
+    labels: (gold_id, field, pos, value) of the two fields.
+    """
+
+    def listed(field: str) -> Column:
+        own = F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("pos", "value"))))
+        return F.transform(own, lambda x: x["value"])
 
-    return gold.select("gold_id", "sample", numbers("gold_class").alias("classes"), numbers("gold_cluster").alias("clusters"))
+    lists = labels.groupBy("gold_id").agg(listed("gold_class").alias("classes"), listed("gold_cluster").alias("clusters"))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    return gold.select("gold_id", "sample").join(lists, "gold_id", "left").select("gold_id", "sample", some("classes"), some("clusters"))
 
 
 #: The rows of the gold sheet that belong to a window, by position from 0
 GOLD_SLICES = {14: (0, 94), 15: (94, 150), 16: (150, 508), 17: (508, None)}
 
 
-def gold_window(gold: DataFrame, window: int) -> DataFrame:
-    """The slice of the gold sheet (in ``gold_id`` order) that belongs to a window; the sheet is a hand-made, small table."""
-    lo, hi = GOLD_SLICES[window]
+def gold_windows(gold: DataFrame) -> DataFrame:
+    """``gold`` with ``ordinal``, the place in ``gold_id`` order, and the window of its slice; the sheet is a hand-made, small table."""
     at = F.row_number().over(Window.orderBy("gold_id")) - 1
-    rows = gold.withColumn("ordinal", at).where(F.col("ordinal") >= lo)
-    return rows if hi is None else rows.where(F.col("ordinal") < hi)
+    window = F.coalesce(*[F.when(F.col("ordinal") < hi, w) for w, (_, hi) in GOLD_SLICES.items() if hi is not None], F.lit(max(GOLD_SLICES)))
+    return gold.withColumn("ordinal", at).withColumn("window_id", window)
 
 
 def checkpoint_stage(df: DataFrame) -> DataFrame:
@@ -79,21 +83,15 @@ def checkpoint_stage(df: DataFrame) -> DataFrame:
     return materialise(df)
 
 
-def write_labels(df: DataFrame, path: str) -> None:
-    """One CSV folder per window with the columns sequence and event number."""
-    df.write.mode("overwrite").partitionBy("window_id").option("header", True).csv(path)
+def write_sheets(df: DataFrame, path: str) -> None:
+    """One CSV folder per window, written by the tasks that hold it."""
+    df.repartition("window_id").write.mode("overwrite").partitionBy("window_id").option("header", True).csv(path)
 
 
-def read_labels(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_sheets(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def topics_sheet(events: DataFrame, windows: list[int]) -> DataFrame:
-    """One row per rank and one column per window with the topic of that rank."""
-    wide = events.groupBy("rank").pivot("window_id", windows).agg(F.first("topic"))
-    return wide.select("rank", *[F.col(str(w)).alias(f"w{w}") for w in windows])
-
-
 def slice_windows(df: DataFrame, lo: int, hi: int) -> DataFrame:
     """Windows lo to hi, both included; a filter that reaches the scan."""
     return df.where(F.col("window_num").between(lo, hi))

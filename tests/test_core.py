@@ -145,8 +145,43 @@ def test_walk_keeps_its_mass(spark):
 
 
 def test_noise_filter(spark):
-    got = [r[0] for r in spark.createDataFrame([("ABC 12",), ("abc",), (None,)], "s string").select(T.noise_free(F.col("s"))).collect()]
-    assert got == ["", "abc", None]
+    cases = {"ABC 12": "", "abc": "abc", "## tag": "", "سلام خخخ": "", "ههه خوب": "", "هههخوب": "هههخوب", "WORDorEXP": "", "a WORDorEXP": "a WORDorEXP", "۱۲ - ~": "", None: None}
+    df = spark.createDataFrame([(s,) for s in cases], "s string")
+    assert {r[0]: r[1] for r in df.select("s", T.noise_free(F.col("s"))).collect()} == cases
+
+
+def test_letters_and_patterns(spark, tmp_path):
+    df = spark.createDataFrame([("كتابۀ مُؤمن ٣ ڤ",)], "s string")
+    assert df.select(T.normalize_text(F.col("s"))).first()[0] == "کتابه مومن ۳ ف"
+    (tmp_path / "words.txt").write_text("\\bكتاب\\b|از", encoding="utf-8")
+    (tmp_path / "marks.txt").write_text("[!؟]", encoding="utf-8")
+    words, marks = (T.read_pattern(str(tmp_path / f"{n}.txt")) for n in ("words", "marks"))
+    assert spark.createDataFrame([("از خانه!",)], "s string").select(T.remove_patterns(F.col("s"), words, marks)).first()[0] == " خانه "
+    assert words == "\\bکتاب\\b|از"
+
+
+def test_walk_against_plain_matrices(spark):
+    import numpy as np
+
+    rng = random.Random(2)
+    names = [f"n{i}" for i in range(9)]
+    edges = [(a, b, rng.random()) for a, b in itertools.combinations(names[:8], 2) if rng.random() < 0.5]
+    q = {n: rng.random() for n in names}
+    moves = walk.transition_prob(spark.createDataFrame(edges, "a string, b string, w double"))
+    jump = walk.teleport(spark.createDataFrame([(n,) for n in names], "node string"), spark.createDataFrame(list(q.items()), "node string, q double"))
+    w = np.zeros((9, 9))
+    for a, b, x in edges:
+        w[names.index(a), names.index(b)] = w[names.index(b), names.index(a)] = x
+    sums = w.sum(1, keepdims=True)
+    p = np.divide(w, sums, out=np.zeros_like(w), where=sums > 0)
+    e = np.exp([q[n] for n in names])
+    whole = 0.85 * p.T + 0.15 * np.outer(e / e.sum(), np.ones(9))
+    for rounds, tolerance in ((3, 0.0), (500, 1e-13)):
+        want = np.full(9, 1 / 9)
+        for _ in range(rounds):
+            want = whole @ want
+        got = {r["node"]: r["pi"] for r in walk.power_iteration(moves, jump, 0.85, rounds, tolerance).collect()}
+        assert [got[n] for n in names] == pytest.approx(want, abs=1e-11)
 
 
 def test_silhouette_matches_all_pairs(spark):
