@@ -6,8 +6,6 @@ without a common post have weight 0 and no row.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +45,8 @@ def walk_step(pi: DataFrame, moves: DataFrame, jump: DataFrame, gamma: float) ->
     return jump.join(pushed, "node", "left").join(F.broadcast(mass)).select("node", (F.lit(gamma) * F.coalesce("s", F.lit(0.0)) + F.lit(1 - gamma) * F.col("e") * F.col("mass")).alias("pi"))
 
 
-def power_iteration(moves: DataFrame, jump: DataFrame, gamma: float = 0.85, rounds: int = 500, tolerance: float = 0.0) -> DataFrame:
-    """(node, pi) after ``rounds`` steps from equal shares, or sooner if no value moves by more than ``tolerance``.
+def power_iteration(moves: DataFrame, jump: DataFrame, gamma: float = 0.85, rounds: int = 500, tolerance: float = 0.0, every: int = 10) -> DataFrame:
+    """(node, pi) after ``rounds`` steps from equal shares, or sooner if no value moves by more than ``tolerance`` (looked at after ``every`` steps).
 
     Nodes are numbered once, so that steps move numbers and no texts. Every step's vector is a table in the shared folder: its size is
     known, so Spark sends it to the moves while it is small and shuffles both where it is not; lost executors cost one step.
@@ -60,13 +58,14 @@ def power_iteration(moves: DataFrame, jump: DataFrame, gamma: float = 0.85, roun
     start = materialise(numbered.select(F.col("id").alias("node"), "e"))
     n = start.count()
     pi = materialise(start.select("node", F.lit(1.0 / max(n, 1)).alias("pi")))
-    for _ in range(rounds):
-        following = materialise(walk_step(pi, steps, start, gamma).join(pi.withColumnRenamed("pi", "before"), "node"))
-        moved = following.agg(F.max(F.abs(F.col("pi") - F.col("before")))).first()[0] or 0.0 if tolerance else math.inf
-        release(pi)
-        pi = following.select("node", "pi")
-        pi._burstloom_path = following._burstloom_path
-        if moved <= tolerance:
+    for i in range(1, rounds + 1):
+        before, pi = pi, materialise(walk_step(pi, steps, start, gamma))
+        still = False
+        if tolerance and i % every == 0:
+            both = pi.join(before.withColumnRenamed("pi", "before"), "node")
+            still = (both.agg(F.max(F.abs(F.col("pi") - F.col("before")))).first()[0] or 0.0) <= tolerance
+        release(before)
+        if still:
             break
     return ids.join(pi.withColumnRenamed("node", "id"), "id").select("node", "pi")
 

@@ -175,13 +175,13 @@ def test_walk_against_plain_matrices(spark):
     sums = w.sum(1, keepdims=True)
     p = np.divide(w, sums, out=np.zeros_like(w), where=sums > 0)
     e = np.exp([q[n] for n in names])
-    whole = 0.85 * p.T + 0.15 * np.outer(e / e.sum(), np.ones(9))
-    for rounds, tolerance in ((3, 0.0), (500, 1e-13)):
+    whole = 0.4 * p.T + 0.6 * np.outer(e / e.sum(), np.ones(9))
+    for rounds, tolerance in ((2, 0.0), (500, 1e-7)):
         want = np.full(9, 1 / 9)
         for _ in range(rounds):
             want = whole @ want
-        got = {r["node"]: r["pi"] for r in walk.power_iteration(moves, jump, 0.85, rounds, tolerance).collect()}
-        assert [got[n] for n in names] == pytest.approx(want, abs=1e-11)
+        got = {r["node"]: r["pi"] for r in walk.power_iteration(moves, jump, 0.4, rounds, tolerance).collect()}
+        assert [got[n] for n in names] == pytest.approx(want, abs=1e-7)
 
 
 def test_silhouette_matches_all_pairs(spark):
