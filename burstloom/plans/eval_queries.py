@@ -12,8 +12,8 @@ from burstloom.sources.readers import table
 from burstloom.sources.views import POSTS_SQL, SEGMENTS_SQL, edges, nodes, posts, segments
 
 GAMMA, ROUNDS = 0.85, 500
-#: the walk ends before ROUNDS when no share moves by more: what is left to move (under 0.85 / 0.15 times it) is less than half of the last digit returned
-STILL = 5e-11
+#: the walk ends before ROUNDS when no share moves by more in a step, far under the last digit returned
+STILL = 1e-13
 
 
 def _held(s, d):
