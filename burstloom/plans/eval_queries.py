@@ -34,7 +34,7 @@ def _graph(s, d):
 
 
 def _pi(s, d):
-    return walk.power_iteration(walk.transition_prob(_edges(s, d)), walk.teleport(_held(s, d), _kb(s, d)), GAMMA, ROUNDS, STILL)
+    return walk.walk_shares(_held(s, d), _kb(s, d), GAMMA, ROUNDS, STILL)
 
 
 def _step(s, d):
