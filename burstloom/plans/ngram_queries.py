@@ -35,6 +35,11 @@ def _span_scores(s, d):
     return N.stickiness(spans, ngrams(s, d), N.kb_from_posts(segments(s, d), posts(s, d))).withColumn("score", F.round("score", 9))
 
 
+def _split(s, d):
+    found = S.segment_by_parts(_tokens(s, d), ngrams(s, d), N.kb_from_posts(segments(s, d), posts(s, d)))
+    return found if found is not None else S.segment_posts(_tokens(s, d), _span_scores(s, d))
+
+
 QUERIES = {
     "build_ngrams": lambda s, d: N.build_ngrams(segments(s, d)),
     "ngram_count": lambda s, d: N.lookup(_texts(s, d), ngrams(s, d), "cnt"),
@@ -54,7 +59,7 @@ QUERIES = {
     "segment_spans": lambda s, d: S.segment_spans(_tokens(s, d)),
     "top_e_beam": lambda s, d: S.top_beam(S.segment_spans(_tokens(s, d)).join(N.stickiness_lm(S.segment_spans(_tokens(s, d))), "seg_text")).select("post_id", "rank", "seg_text", _round("score").alias("score")),
     "segment_dp": lambda s, d: S.segment_posts(_tokens(s, d), _span_scores(s, d)).select("post_id", F.array_join("segs", " | ").alias("segs")),
-    "segment_posts": lambda s, d: S.segment_posts(_tokens(s, d), _span_scores(s, d)).select("post_id", F.posexplode("segs").alias("pos", "seg_text")),
+    "segment_posts": lambda s, d: _split(s, d).select("post_id", F.posexplode("segs").alias("pos", "seg_text")),
 }
 
 _T = f"WITH {SEGMENTS_SQL}, {NGRAMS_SQL}, texts AS (SELECT DISTINCT seg_text, string_split(seg_text, ' ') AS ws FROM segs)"
