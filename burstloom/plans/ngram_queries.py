@@ -58,7 +58,7 @@ QUERIES = {
     "score_cache": lambda s, d: segments(s, d).join(N.lm_score(_texts(s, d)), "seg_text").select("post_id", "pos", _round("score").alias("score")),
     "segment_spans": lambda s, d: S.segment_spans(_tokens(s, d)),
     "top_e_beam": lambda s, d: S.beam_of_posts(_tokens(s, d)).select("post_id", "rank", "seg_text", _round("score").alias("score")),
-    "segment_dp": lambda s, d: S.segment_posts(_tokens(s, d), _span_scores(s, d)).select("post_id", F.array_join("segs", " | ").alias("segs")),
+    "segment_dp": lambda s, d: _split(s, d).select("post_id", F.array_join("segs", " | ").alias("segs")),
     "segment_posts": lambda s, d: _split(s, d).select("post_id", F.posexplode("segs").alias("pos", "seg_text")),
 }
 

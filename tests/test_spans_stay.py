@@ -53,5 +53,5 @@ def test_segment_by_parts(spark):
 
 
 def test_queries_shuffle_no_spans(spark, data):
-    for name in ("segment_posts", "top_e_beam"):
+    for name in ("top_e_beam", "segment_dp", "segment_posts"):
         assert _shuffles(catalog.queries()[name](spark, data)) <= 1, name
