@@ -36,3 +36,17 @@ def test_steps_after_the_shape_is_still_are_a_power(spark, monkeypatch):
     got = _of(walk.walk_shares(held, kb, rounds=500, tolerance=1e-13))
     assert got == pytest.approx(want, abs=1e-11)
     assert sum(want.values()) < 0.9 and len(run) < 500
+
+
+def test_the_queries_of_the_walk_take_the_arrays(spark, monkeypatch):
+    """power_iteration and select_best: no step over tables; equal shares stand by their node."""
+    from burstloom.plans import eval_queries
+
+    held, kb = _given(spark, 3)
+    monkeypatch.setattr(eval_queries, "_held", lambda s, d: held)
+    monkeypatch.setattr(eval_queries, "_kb", lambda s, d: kb)
+    monkeypatch.setattr(eval_queries, "ROUNDS", 2)
+    monkeypatch.setattr(walk, "walk_step", None)
+    all_shares = _of(eval_queries.QUERIES["power_iteration"](spark, ""))
+    best = [(r["node"], r["pi"]) for r in eval_queries.QUERIES["select_best"](spark, "").collect()]
+    assert best == sorted(all_shares.items(), key=lambda x: (-x[1], x[0]))[:50]
