@@ -2,7 +2,7 @@
 
 MinHash banding over word sets. Equal word sets are one class from the start, so exact copies never meet each other. Every
 class has ``bands`` x ``rows`` minimum hashes; classes that agree on a whole band meet in one shuffle on the band's hash, which
-carries the class, its size and a bitmap of its words. Size and bitmap bound the words that two classes can have in common from
+carries the class, its size and a bitmap of its words, as arrays of many classes for each bucket of hashes. Size and bitmap bound the words that two classes can have in common from
 above, so a pair is dropped where it meets only if it cannot be similar enough; all others are verified on the full sets of 64-bit word
 hashes. The number of bands follows from the rows of a band and the target recall at the threshold itself; recall above the
 threshold is higher.
@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,6 +43,8 @@ SEEN = 500_000
 SAMPLED = 64
 #: classes of one band hash that meet in one place
 BLOCK = 20_000
+#: band rows that a task deals to buckets at once, and those of a bucket that meet in one place on average
+DEALT, BUCKET = 1 << 20, 1 << 19
 #: band hashes that are split at most (the most frequent ones); a bound on what tasks are sent
 MAX_HOT = 10_000
 
@@ -51,7 +55,10 @@ def bands_for(threshold: float, rows: int, recall: float) -> int:
 
 
 class _WordHashes(dict):
-    """Blank-separated piece of a consistent text -> hashes of its words; a bounded memory."""
+    """Blank-separated piece of a consistent text -> hashes of its words; a bounded memory.
+
+    :meth:`sets` looks up every different piece of a batch once and finds the distinct words of all its texts by one sort.
+    """
 
     def __init__(self, size: int = 300_000, longest: int = 60):
         super().__init__()
@@ -65,6 +72,28 @@ class _WordHashes(dict):
             self[piece] = out
         return out
 
+    def sets(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, sizes): the distinct word hashes of every text, one after the other, and their number; a text without words has the hash of itself."""
+        lists = pc.split_pattern(texts, " ")
+        pieces = lists.flatten().dictionary_encode()
+        found = [self[p] for p in pieces.dictionary.to_pylist()]
+        several = np.fromiter(map(len, found), np.int64, len(found))
+        own, number = np.unique(np.fromiter((h for x in found for h in x), np.uint64, int(several.sum())), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum(several)])
+        at = pieces.indices.to_numpy()
+        many = several[at]
+        row = np.repeat(np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy())), many)
+        word = number[np.repeat(first[at] - np.concatenate([[0], np.cumsum(many)[:-1]]) if len(at) else at, many) + np.arange(int(many.sum()))]
+        cells = np.unique(row * max(1, len(own)) + word)
+        row = cells // max(1, len(own))
+        flat, sizes = own[cells - row * len(own)], np.bincount(row, minlength=len(texts))
+        bare = np.flatnonzero(sizes == 0)
+        if len(bare):
+            whole = np.array([xxhash.xxh64_intdigest("\x00" + texts[i].as_py()) for i in bare.tolist()], np.uint64)
+            flat = np.insert(flat, np.cumsum(sizes)[bare], whole)
+            sizes[bare] = 1
+        return flat, sizes
+
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     """64-bit hashes spread once more, so that their sum stands for their set."""
@@ -84,16 +113,13 @@ def word_sets(df: DataFrame, id_col: str, text_col: str, time_col: str | None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con, known = connect(), _WordHashes()
         for b in batches:
-            sets, rows = [], []
-            for i, t in enumerate(consistent_array(con, b.column(b.num_columns - 1)).to_pylist()):
-                if t:
-                    found = set().union(*map(known.__getitem__, t.split(" ")))
-                    sets.append(found or {xxhash.xxh64_intdigest("\x00" + t)})
-                    rows.append(i)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            flat = np.fromiter((h for s in sets for h in s), np.uint64, int(sizes.sum()))
+            texts = consistent_array(con, b.column(b.num_columns - 1))
+            if isinstance(texts, pa.ChunkedArray):
+                texts = texts.combine_chunks()
+            rows = np.flatnonzero(pc.fill_null(pc.not_equal(texts, ""), False).to_numpy(zero_copy_only=False))
+            flat, sizes = known.sets(texts.take(pa.array(rows)))
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            cls = np.add.reduceat(_mixed(flat), offsets[:-1]) if len(sets) else np.empty(0, np.uint64)
+            cls = np.add.reduceat(_mixed(flat), offsets[:-1]) if len(rows) else np.empty(0, np.uint64)
             ws = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
             ids = b.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*ids.columns[:-1], pa.array(cls.view(np.int64)), ws], names=schema.names)
@@ -174,8 +200,38 @@ def _banding(rows: int, bands: int, seed: int, hot: dict[int, int]):
     return run
 
 
+def _dealing(band, buckets: int):
+    """A function from batches (cls, ws) to the band rows that ``band`` makes of them, as (bucket, rows): for every bucket of keys an array
+    of rows key, cls, mark and, unless all are 0, side."""
+
+    def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(4)]
+        if not columns[3].any():
+            columns.pop()
+        to = (_mixed(columns[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        ends = np.bincount(to, minlength=buckets).cumsum()
+        rows = np.stack([x[order].astype(np.int64) for x in columns], 1)
+        there = np.flatnonzero(np.diff(ends, prepend=0))
+        data = [rows[a:b].tobytes() for a, b in zip((ends - np.diff(ends, prepend=0))[there].tolist(), ends[there].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(np.full(len(there), len(columns), np.int32)), pa.array(data, pa.binary())], names=["bucket", "width", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for b in band(batches):
+            held.append(b)
+            waiting += len(b)
+            if waiting >= DEALT:
+                yield from dealt(held)
+                held, waiting = [], 0
+        if waiting:
+            yield from dealt(held)
+
+    return run
+
+
 def _meeting(threshold: float):
-    """A function from band rows, sorted by key, to the pairs a < b that may be similar."""
+    """A function from dealt band rows, sorted by bucket, to the pairs a < b that may be similar."""
 
     def pairs(key: np.ndarray, cls: np.ndarray, mark: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
         at, step = np.arange(len(key)), 0
@@ -192,23 +248,16 @@ def _meeting(threshold: float):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            new = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy())
-            # the last key may go on in the next batch
-            last = int(np.searchsorted(new[0], new[0][-1], "left"))
-            if last:
-                held.append(tuple(x[:last] for x in new))
-                yield from pairs(*(np.concatenate([h[c] for h in held]) for c in range(4)))
-                held = []
-            elif held and held[0][0][0] != new[0][0]:
-                yield from pairs(*(np.concatenate([h[c] for h in held]) for c in range(4)))
-                held = []
-            held.append(tuple(x[last:] for x in new))
-        if held:
-            yield from pairs(*(np.concatenate([h[c] for h in held]) for c in range(4)))
+        def rows() -> Iterator[tuple[int, int, pa.BinaryScalar]]:
+            for b in batches:
+                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)
+
+        for _, group in groupby(rows(), key=lambda r: r[0]):
+            held = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, width) for _, width, x in group]
+            key, cls, mark = (np.concatenate([h[:, c] for h in held]) for c in range(3))
+            side = np.concatenate([h[:, 3] if h.shape[1] == 4 else np.zeros(len(h), np.int64) for h in held])
+            order = np.argsort(key)
+            yield from pairs(key[order], cls[order], mark[order].view(np.uint64), side[order])
 
     return run
 
@@ -228,8 +277,10 @@ def similar_classes(sets: DataFrame, threshold: float, rows: int, recall: float,
     """(a, b): pairs a < b of classes (cls, ws) whose word sets have at least ``threshold`` in common."""
     bands = bands_for(threshold, rows, recall)
     hot = hot_keys(sets, rows, bands, seed, block, sampled)
-    banded = sets.select("cls", "ws").mapInArrow(_banding(rows, bands, seed, hot), BAND_ROW)
-    met = banded.repartition("key").sortWithinPartitions("key").mapInArrow(_meeting(threshold), "a long, b long")
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(2 * tasks, math.ceil(sets.count() * bands / BUCKET))
+    dealt = sets.select("cls", "ws").mapInArrow(_dealing(_banding(rows, bands, seed, hot), buckets), "bucket int, width int, rows binary")
+    met = dealt.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket").mapInArrow(_meeting(threshold), "a long, b long")
     pairs = materialise(met.distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     held = sets.select("cls", "ws").join(needed, "cls", "left_semi").dropDuplicates(["cls"])
